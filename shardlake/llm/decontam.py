@@ -55,7 +55,7 @@ class Index:
                 idf = np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
                 self.weights[self.vocab[t], j] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean))
         self.weights /= np.maximum(self.weights.sum(0), 1e-9)
-        self.tops = self.weights.reshape(len(self.vocab), -1, BLOCK).max(2)
+        self.tops = self.weights.reshape(len(self.vocab), pad // BLOCK, BLOCK).max(2)
         self.longest = max((len(w) for *_, w in self.items), default=1)
 
     def retrieve(self, terms: np.ndarray) -> list[int]:
