@@ -141,9 +141,14 @@ def link(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     x = roll(here, "1").join(roll(probe, "2"), (F.col("p1") == F.col("p2")) & (F.col("k1") == F.col("k2")) & (F.col("c1") != F.col("c2")) & ((F.col("n1") > 1) | (F.col("n2") > 1) | (ham("f1", "f2") <= distance)))
     x = durable(x.select("p1", "k1", "c1", "c2", "n1", "n2", "f1", "f2"))
     single = x.filter("n1 = 1 and n2 = 1").select(F.col("c1").alias("a"), F.col("c2").alias("b"))
-    many = x.filter("n1 > 1 or n2 > 1").select("p1", "k1", "c1", "c2")
-    left = many.join(here, (F.col("p") == F.col("p1")) & (F.col("key") == F.col("k1")) & (F.col("c") == F.col("c1"))).select("p1", "k1", "c1", "c2", F.col("fp").alias("fa"))
-    cross = left.join(probe, (F.col("p") == F.col("p1")) & (F.col("key") == F.col("k1")) & (F.col("c") == F.col("c2")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fp"))) <= distance)).select(F.col("c1").alias("a"), F.col("c2").alias("b"))
+    # Where one side of a bucket is a single fingerprint, it is known: the other side's members are verified inside the join.
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    at = lambda c: (F.col("p") == F.col("p1")) & (F.col("key") == F.col("k1")) & (F.col("c") == F.col(c))
+    ends = [F.col("c1").alias("a"), F.col("c2").alias("b")]
+    cross = x.filter("n1 > 1 and n2 = 1").join(here, at("c1") & near("fp", "f2")).select(*ends)
+    cross = cross.union(x.filter("n1 = 1 and n2 > 1").join(probe, at("c2") & near("fp", "f1")).select(*ends))
+    left = x.filter("n1 > 1 and n2 > 1").select("p1", "k1", "c1", "c2").join(here, at("c1")).select("p1", "k1", "c1", "c2", F.col("fp").alias("fa"))
+    cross = cross.union(left.join(probe, at("c2") & near("fa", "fp")).select(*ends))
     second = components(single.union(cross).distinct()).withColumnRenamed("c", "c2nd")
     return member.join(second, F.col("c") == F.col("v"), "left").select("fp", F.coalesce("c2nd", "c").alias("c"))
 
