@@ -14,6 +14,8 @@ from .common import durable, ship
 
 #: A run ends with its third sentence or later, once it has 15 words, or with any sentence that brings it to 40.
 SENTENCES, WORDS, LONG = 3, 15, 40
+#: A run is hot if it has more than one HOT-th of all places: fewer than HOT runs can be, however large the input.
+HOT = 1000
 PIECE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 
 
@@ -48,8 +50,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     First is the smallest (doc_id, text hash, sentence), null ids last; every other place of a run that occurs more than once loses all
     its sentences. Spaces inside a run and case do not matter. Null texts stay null, empty ones empty; equal rows
-    count as one document. Runs are pre-aggregated by hash before the shuffle; the join back is by hash, where a
-    hot run is split by adaptive execution. Columns named n_sentences or n_removed are replaced.
+    count as one document. Runs are pre-aggregated by hash before the shuffle; the join back is by hash, but for hot
+    runs, which are broadcast (fewer than HOT rows) so that their places stay where they are. Columns named
+    n_sentences or n_removed are replaced.
     """
     ship(docs)
     docs = docs.drop("n_sentences", "n_removed")
@@ -72,8 +75,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     schema = StructType([*lean.schema.fields[:2]]).add("i", "integer").add("j", "integer").add("h", "long")
     runs = durable(lean.mapInArrow(emit, schema))
     place = F.struct(F.col("d").isNull().alias("nil"), "d", "k", "i")
-    firsts = runs.groupBy(F.col("h").alias("fh")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = runs.join(firsts, F.col("h") == F.col("fh")).filter(place != F.col("first"))
+    firsts = durable(runs.groupBy(F.col("h").alias("fh")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    share = F.col("n") * HOT > runs.count()
+    hot, same = F.broadcast(firsts.filter(share)), F.col("h") == F.col("fh")
+    again = runs.join(hot, same).union(runs.join(hot, same, "left_anti").join(firsts.filter(~share), same))
+    again = again.filter(place != F.col("first"))
     cover = again.groupBy(F.col("d").alias("_d"), F.col("k").alias("_k")).agg(F.collect_set(F.struct("i", "j")).alias("_cover"))
     whole = docs.withColumn("_key", key).join(cover, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_key", "_d", "_k")
 
