@@ -82,3 +82,23 @@ def scan(docs: DataFrame, base: dict = BASE, extra: dict = TEMPLATES, k: int = K
 
 def op9(documents: DataFrame) -> DataFrame:
     return scan(documents)
+
+
+_PHRASES = ", ".join(f"({t}, '{phrase}', '{label}', {t < len(BASE)})" for t, (phrase, label) in enumerate([*BASE.items(), *TEMPLATES.items()]))
+_GRAM = " || ' ' || ".join(f"w[{{0}} + {j + 1}]" for j in range(K))
+_SAY = lambda c: f"coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER ({c})), ','), '')"
+SQL = f"""
+WITH tp AS (SELECT t, string_split(phrase, ' ') AS w, label, is_base FROM (VALUES {_PHRASES}) x(t, phrase, label, is_base)),
+tg AS (SELECT t, label, is_base, len(w) - {K - 1} AS grams, p, {_GRAM.format("p")} AS gram FROM (SELECT *, unnest(range(len(w) - {K - 1})) AS p FROM tp)),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, i, {_GRAM.format("i")} AS gram FROM (SELECT r, w, unnest(range(len(w) - {K - 1})) AS i FROM d WHERE len(w) >= {K})),
+v AS (SELECT r, t, i - p AS diagonal, list(DISTINCT p) AS ps, any_value(grams) AS grams, any_value(label) AS label, any_value(is_base) AS is_base FROM g JOIN tg USING (gram) GROUP BY r, t, i - p),
+f AS (SELECT *, row_number() OVER per AS pos, coalesce(diagonal - lag(diagonal) OVER per > {GAP}, true) AS far FROM v WINDOW per AS (PARTITION BY r, t ORDER BY diagonal)),
+u AS (SELECT *, CASE WHEN is_base THEN pos ELSE sum(far::INTEGER) OVER (PARTITION BY r, t ORDER BY diagonal) END AS run FROM f),
+s AS (SELECT r, any_value(label) AS label, min(diagonal) AS start, len(list_distinct(flatten(list(ps)))) / any_value(grams) AS share, any_value(is_base) AS is_base FROM u GROUP BY r, t, run),
+o AS (SELECT r, count(*) FILTER (is_base AND share = 1) AS n_base, min(start) FILTER (is_base AND share = 1) AS first_word, max(start) FILTER (is_base AND share = 1) AS last_word,
+    {_SAY("is_base AND share = 1")} AS base_labels, {_SAY(f"(is_base AND share = 1) OR share >= {COVER}")} AS labels, max(share) AS score FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN o USING (r)
+"""

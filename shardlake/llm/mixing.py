@@ -77,3 +77,24 @@ def _select(rows: DataFrame, goal: DataFrame) -> DataFrame:
 def op5(docs: DataFrame) -> DataFrame:
     lean = docs.select("doc_id", "text", "source")
     return mix(lean).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')))), 1, 8))::BIGINT >> {32 - BITS * LEVELS} AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM s),
+w AS (SELECT *, ([{", ".join(f"{x}::DOUBLE" for x in WEIGHTS)}])[rank % {len(WEIGHTS)} + 1] AS w, {MAX_REPEAT}::DOUBLE * source_size AS cap FROM r),
+l AS (SELECT *, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER up, 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER up, 0)) AS level, row_number() OVER (ORDER BY cap / w, rank) AS pos
+    FROM w WINDOW up AS (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, coalesce(least(cap, w * (SELECT arg_min(level, pos) FROM l WHERE cap > level * w)), cap) AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t),
+n AS (SELECT *, target - base * source_size AS need FROM g),
+c AS (SELECT source, h, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS cum FROM d GROUP BY source, h),
+e AS (SELECT n.source, min(c.h) AS h, arg_min(c.n, c.h) AS edge, arg_min(c.cum, c.h) AS cum FROM n JOIN c ON c.source IS NOT DISTINCT FROM n.source AND c.cum > n.need GROUP BY n.source),
+b AS (SELECT n.*, CASE WHEN e.h IS NULL THEN {1 << BITS * LEVELS} WHEN (need - (e.cum - e.edge)) * 2 >= e.edge THEN e.h + 1 ELSE e.h END AS low
+    FROM n LEFT JOIN e ON e.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, size, source_size, target, (size * least(base + (h < low)::INTEGER, {int(MAX_REPEAT)}))::BIGINT AS taken
+FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source
+"""

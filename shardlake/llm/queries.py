@@ -17,4 +17,4 @@ QUERIES = {
     "op9_license_diagonals": lambda s, d: license.op9(table(s, d, "documents")),
     "op10_benchmark_wand": lambda s, d: decontam.op10(table(s, d, "documents"), table(s, d, "benchmark")),
 }
-SQL = {"op1_preference_format": chat.SQL, "op4_topk_accumulate": topk.SQL}
+SQL = {"op1_preference_format": chat.SQL, "op4_topk_accumulate": topk.SQL, "op5_mix_histogram": mixing.SQL, "op9_license_diagonals": license.SQL}
