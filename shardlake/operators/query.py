@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fields that results may be ranked by.
-RANKS = {"mass": "bounding.mass_kg_est", "thickness": "_thickness"}
+RANKS = ("mass", "area", "thickness", "faces")
 
 
 class UnsupportedQuery(ValueError):
@@ -43,7 +43,8 @@ def select(records: DataFrame, *, use=None, label=None, anomaly=None, min_face_a
     Face predicates must hold on one and the same face; connection and assignment may hold on any two others. A label
     is looked for on own features first, and on adjacent ones only where the record has no own hit. Null
     mass or thickness fails; null or zero RMS fails max_face_rms; null area counts as 0; absent reliability is true.
-    Ranking is descending, nulls last, ties by fragment_id; top_k of None or 0 keeps all.
+    Ranking is descending, null and absent values rank as 0, ties by fragment_id; without ranking the order is that of
+    fragment_id. top_k of None or 0 keeps all.
     """
     if rank_by is not None and rank_by not in RANKS:
         raise UnsupportedQuery(f"cannot rank by {rank_by}")
@@ -65,6 +66,11 @@ def select(records: DataFrame, *, use=None, label=None, anomaly=None, min_face_a
             ok &= F.coalesce(f["scan_reliable"], F.lit(True))
         return ok
 
+    named = lambda at: F.array_join(F.transform(at, lambda i: F.concat(F.lit("region "), i.cast("string"))), ", ")
+    if use is not None:
+        df = df.withColumn("_use", F.get(F.filter("procedural.use_suggestions", lambda u: u["id"] == use), 0)).filter("_use is not null")
+        via = F.transform("_use.faces", lambda i: i + 1)
+        why.append(F.concat(F.lit(f"use {use}"), F.when(F.size(via) > 0, F.concat(F.lit(" via "), named(via))).otherwise("")))
     if label or anomaly or min_face_area or max_face_rms or reliable_only:
         at = F.transform(faces, lambda f, i: F.struct(i.alias("i"), f.alias("f")))
         hits = lambda test: F.transform(F.filter(at, lambda x: plain(x["f"]) & test(x["f"])), lambda x: x["i"] + 1)
@@ -72,14 +78,11 @@ def select(records: DataFrame, *, use=None, label=None, anomaly=None, min_face_a
             own = hits(lambda f: F.array_contains(own_labels(f), label))
             near = hits(lambda f: F.coalesce(F.array_contains(f["adjacent_features"], label), F.lit(False)))
             df = df.withColumn("_own", own).withColumn("_hits", F.when(F.size("_own") > 0, F.col("_own")).otherwise(near))
-            text = F.when(F.size("_own") > 0, "region ").otherwise("on a surface meeting region ")
+            text = F.when(F.size("_own") > 0, "").otherwise("on a surface meeting ")
         else:
-            df, text = df.withColumn("_hits", hits(lambda f: F.lit(True))), F.lit("region ")
+            df, text = df.withColumn("_hits", hits(lambda f: F.lit(True))), F.lit("")
         df = df.filter(F.size("_hits") > 0)
-        why.append(F.concat(text, F.array_join(F.transform("_hits", lambda i: i.cast("string")), ", ")))
-    if use is not None:
-        df = df.filter(F.exists("procedural.use_suggestions", lambda u: u["id"] == use))
-        why.append(F.lit(f"use {use}"))
+        why.append(F.concat(text, named("_hits")))
     mass = F.col("bounding.mass_kg_est")
     for column, low, high in ((mass, min_mass, max_mass), (F.col("_thickness"), min_thickness, max_thickness)):
         if low is not None:
@@ -87,16 +90,31 @@ def select(records: DataFrame, *, use=None, label=None, anomaly=None, min_face_a
         if high is not None:
             df = df.filter(column <= high)
     if min_mass is not None or max_mass is not None:
-        why.append(F.concat(mass.cast("string"), F.lit(" kg")))
+        why.append(F.format_string("%.0f kg", F.bround(mass)))
     for path, value in (("procedural.handling_class.value", handling), ("procedural.drill_zone.value", drill_zone)):
         if value is not None:
             df = df.filter(F.col(path) == value)
     for name, value in (("connection_strategy", connection), ("design_assignment", assignment)):
         if value is not None:
-            df = df.filter(F.exists("planarity", lambda f, n=name, v=value: f[n]["value"] == v))
+            values = F.transform("planarity", lambda f: f["procedural"][name]["value"])  # noqa: B023 - called at once
+            df = df.filter(F.array_contains(values, value))
     df = df.withColumn("why", F.concat_ws("; ", *why))
-    if rank_by is not None:
-        df = df.orderBy(F.col(RANKS[rank_by]).desc_nulls_last(), "fragment_id")
+    areas = F.array_max(F.transform(faces, lambda f: F.coalesce(usable_area(f), F.lit(0.0))))
+    value = {"mass": mass, "area": areas, "thickness": F.col("_thickness"), "faces": F.size(faces).cast("double")}
+    first = [F.coalesce(value[rank_by], F.lit(0.0)).desc()] if rank_by is not None else []
+    df = df.orderBy(*first, "fragment_id")
     if top_k:
-        df = df.orderBy("fragment_id").limit(top_k) if rank_by is None else df.limit(top_k)
-    return df.drop("_thickness", "_own", "_hits")
+        df = df.limit(top_k)
+    return df.drop("_thickness", "_own", "_hits", "_use")
+
+
+def list_uses(records: DataFrame) -> DataFrame:
+    """fragment_id and the labels of its uses, joined; `(none)` where it has none."""
+    labels = F.array_join(F.transform("procedural.use_suggestions", lambda u: u["label"]), ", ")
+    return records.select("fragment_id", F.coalesce(F.nullif(labels, F.lit("")), F.lit("(none)")).alias("uses")).orderBy("fragment_id")
+
+
+def require_use(records: DataFrame, use: str) -> None:
+    """Raise UnsupportedQuery if no record knows the use."""
+    if records.filter(F.exists("procedural.use_suggestions", lambda u: u["id"] == use)).isEmpty():
+        raise UnsupportedQuery(f"no record has the use {use}")

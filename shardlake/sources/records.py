@@ -5,18 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only what the query surface and the rules read; maps have dynamic keys, so inference is never used.
-SCHEMA = """
-fragment_id STRING,
-bounding STRUCT<obb_dims_mm: ARRAY<DOUBLE>, mass_kg_est: DOUBLE>,
-planarity ARRAY<STRUCT<area_m2_est: DOUBLE, contiguous_area_m2: DOUBLE, fit_rms_mm: DOUBLE, scan_reliable: BOOLEAN,
-  surface_label: STRING, features: ARRAY<STRING>, adjacent_features: ARRAY<STRING>, anomalies: ARRAY<STRUCT<label: STRING>>,
-  connection_strategy: STRUCT<value: STRING>, design_assignment: STRUCT<value: STRING>>>,
-procedural STRUCT<handling_class: STRUCT<value: STRING>, drill_zone: STRUCT<value: STRING>,
-  use_suggestions: ARRAY<STRUCT<id: STRING, label: STRING>>>
+_OUTCOME = "STRUCT<value: STRING, rule: STRING, note: STRING, reason: STRING, data_status: STRING>"
+_CURVE = "STRUCT<mean_rad: DOUBLE, std_rad: DOUBLE, p25_rad: DOUBLE, p75_rad: DOUBLE, radius_mm: DOUBLE>"
+#: What the queries and the rules read, stated: keys of maps are data, so inference is never used.
+SCHEMA = f"""
+fragment_id STRING, archetype STRING, computed_at STRING,
+bounding STRUCT<obb_dims_mm: ARRAY<DOUBLE>, obb_axes_xyz: ARRAY<ARRAY<DOUBLE>>, volume_mm3: DOUBLE, volume_source: STRING,
+  convexity: DOUBLE, mass_kg_est: DOUBLE, watertight: BOOLEAN>,
+planarity ARRAY<STRUCT<normal_xyz: ARRAY<DOUBLE>, area_m2_est: DOUBLE, contiguous_area_m2: DOUBLE, n_patches: INT, fit_rms_mm: DOUBLE,
+  angle_to_unscanned_deg: DOUBLE, scan_reliable: BOOLEAN, surface_label: STRING, features: ARRAY<STRING>, adjacent_features: ARRAY<STRING>,
+  anomalies: ARRAY<STRUCT<label: STRING>>,
+  procedural: STRUCT<connection_strategy: {_OUTCOME}, design_assignment: {_OUTCOME}, finishing_requirement: {_OUTCOME}>>>,
+curvature STRUCT<fine_mm: {_CURVE}, coarse_mm: {_CURVE}>,
+vision STRUCT<labels_present: ARRAY<STRING>, label_coverage: MAP<STRING, INT>, regions: ARRAY<STRUCT<region_id: INT, kind: STRING,
+  plane_index: INT, area_frac: DOUBLE, area_m2: DOUBLE, contiguous_area_m2: DOUBLE, label: STRING, features: ARRAY<STRUCT<id: STRING, votes: INT>>,
+  uv_coherence: DOUBLE, uv_fill: DOUBLE, smear_frac: DOUBLE, skipped: STRING>>>,
+scan_coverage STRUCT<has_unscanned_face: BOOLEAN, unscanned_avg_normal: ARRAY<DOUBLE>>,
+procedural STRUCT<handling_class: {_OUTCOME}, drill_zone: {_OUTCOME},
+  use_suggestions: ARRAY<STRUCT<id: STRING, label: STRING, faces: ARRAY<INT>, regions: ARRAY<INT>, note: STRING>>>
 """
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(SCHEMA + ", _corrupt_record STRING").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     return rows.filter(F.col("fragment_id").isNotNull()).drop("_corrupt_record")
+
+
+def faces(records: DataFrame) -> DataFrame:
+    """One row a face: fragment_id, plane (its place from 0) and its fields; records without faces give none."""
+    return records.select("fragment_id", F.posexplode("planarity").alias("plane", "face")).select("fragment_id", "plane", "face.*")
+
+
+def regions(records: DataFrame) -> DataFrame:
+    """One row a region: fragment_id and its fields; records without regions give none."""
+    return records.select("fragment_id", F.explode("vision.regions").alias("region")).select("fragment_id", "region.*")
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """tile, fragment, features of label sheets (CSV): cells parted by any comma or semicolon; `none` alone is the empty set.
+
+    Rows whose cell is empty or says `unusable` are left out; repeated labels count once.
+    """
+    sheet = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    cell = F.transform(F.split(F.coalesce("true_features", F.lit("")), "[,;\uFF0C\u3001]"), lambda x: F.trim(x))
+    labels = F.array_distinct(F.filter(cell, lambda x: x != ""))
+    known = sheet.select("tile", "fragment", labels.alias("features"))
+    known = known.filter((F.size("features") > 0) & ~F.array_contains("features", "unusable"))
+    return known.withColumn("features", F.array_remove("features", "none"))
+
+
+def read_votes(spark: SparkSession, path: str) -> DataFrame:
+    """batch, run, region, feature of cached vote files named reg_<batch>_run<digit>_...; elements are ids or objects with an id."""
+    raw = spark.read.option("wholetext", True).text(path).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), "reg_(.+)_run(\\d)_", 0))
+    raw = raw.filter("_file <> ''").select(F.regexp_extract("_file", "reg_(.+)_run(\\d)_", 1).alias("batch"), F.regexp_extract("_file", "_run(\\d)_", 1).cast("int").alias("run"), F.from_json("value", "map<string, string>").alias("m"))
+    per = raw.select("batch", "run", F.explode("m").alias("region", "answer")).filter("region rlike '^[0-9]+$'")
+    votes = per.select("batch", "run", F.col("region").cast("int").alias("region"), F.explode(F.from_json(F.get_json_object("answer", "$.features"), "array<string>")).alias("x"))
+    return votes.select("batch", "run", "region", F.coalesce(F.get_json_object("x", "$.id"), "x").alias("feature")).distinct()
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """One folder of JSON a fragment; folders of other fragments stay."""
+    records.withColumn("fragment", F.col("fragment_id")).write.partitionBy("fragment").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
