@@ -39,8 +39,7 @@ def scan(docs: DataFrame, base: dict = BASE, extra: dict = TEMPLATES, k: int = K
 
     Every rolling k-gram's hash is joined to the template positions (a fixed list of some dozens of rows,
     broadcast); only hits and one marker a document are shuffled. Hits vote for diagonals (document position
-    minus template position); diagonals of one template at most GAP apart, whose hits do not lie
-    further apart than the template is long, merge. A base span is verified as all k-grams on one diagonal, the others as COVER of
+    minus template position); neighbouring diagonals of one template at most GAP apart merge. A base span is verified as all k-grams on one diagonal, the others as COVER of
     them. Null texts are empty; rows with equal doc_id and text are told apart by count and come back as often
     as they came; texts under k words give no hit. score: the largest share of a template covered.
     """
