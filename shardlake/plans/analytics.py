@@ -152,6 +152,12 @@ def connected_components(t):
     return graph.connected_components(e)
 
 
+@query(None)
+def connected_components_all(t):
+    """Components over every lineitem edge; a recursive CTE is quadratic in them, so it has no SQL."""
+    return graph.connected_components(t("lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
+
+
 @query("""SELECT p_partkey, p_type FROM part WHERE split_part(p_type, ' ', 1) NOT IN ('ECONOMY', 'STANDARD')""")
 def taxonomy_check(t):
     return t("part").filter(~F.split("p_type", " ")[0].isin("ECONOMY", "STANDARD")).select("p_partkey", "p_type")

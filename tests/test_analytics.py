@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import random
 
 import duckdb
 import pytest
@@ -62,3 +63,23 @@ def test_record_queries(records):
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1)], "a long, b long")
     assert {tuple(r) for r in graph.connected_components(e).collect()} == {(1, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)}
+
+
+def test_components_of_all_edges(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [(o, rng.randrange(60), float(rng.choice((1, 2, 50))), rng.choice("ARN")) for o in range(80) for _ in range(rng.choice((1, 1, 2)))]
+    lines += [(1000 + k, 7, 2.0, "N") for k in range(300)] + [(2000 + k // 2, 2000 + (k + 1) // 2, 2.0, "A") for k in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root: dict = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for o, p, *_ in lines:
+        x, y = find(o * 2), find(p * 2 + 1)
+        root[max(x, y)] = min(x, y)
+    got = [tuple(r) for r in analytics.QUERIES["connected_components_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(root) and set(got) == {(x, find(x)) for x in root}
