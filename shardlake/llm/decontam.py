@@ -83,7 +83,7 @@ class Index:
             got = self.retrieve(terms)
             if got:
                 have = shingles(w[a : a + 2 * self.longest])
-                short = {len(next(iter(self.shingles[j]))) for j in got} - {SHINGLE}
+                short = {len(next(iter(s))) for j in got for s in (self.shingles[j], *self.answers[j]) if s} - {SHINGLE}
                 q = w[a : a + 2 * self.longest]
                 have |= {tuple(q[i : i + n]) for n in short for i in range(len(q) - n + 1)}
             for j in got:

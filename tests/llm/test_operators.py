@@ -157,6 +157,15 @@ def test_benchmark_copies_are_found(spark):
     assert got[1].contaminated and got[1].items == "7" and not got[2].contaminated
 
 
+def test_short_answers_count(spark):
+    question = "Which of the old harbour towns on the northern coast of the island was first to build a stone lighthouse for the fishing boats that came home late at night?"
+    edited = question.replace("first to", "the earliest to").replace("Which of", "Say which of")
+    bench = spark.createDataFrame([(7, question + " Port Ellen.")], "item_id long, text string")
+    rows = [(1, "filler " * 40 + edited + " It is said to be Port Ellen. " + "other " * 40, None, None, 0), (2, "filler " * 40 + edited + " It is said to be Port Askaig. " + "other " * 40, None, None, 0)]
+    got = {r.doc_id: r for r in decontam.op10(docs(spark, rows), bench).collect()}
+    assert got[1].items == "7" and got[1].overlap < decontam.SIMILARITY and not got[2].contaminated
+
+
 def test_language_held_out(spark):
     a = [(i, " ".join(["the", "house", "with", "that"][(i + k) % 4] for k in range(9)), "en", None, 0) for i in range(40)]
     b = [(i + 40, " ".join(["le", "chat", "avec", "une"][(i + k) % 4] for k in range(9)), "fr", None, 0) for i in range(40)]
