@@ -31,17 +31,33 @@ def sentences(text: str) -> list[str]:
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
-    """(first sentence, sentence behind the last, hash) of the run that begins at each sentence, if it ends."""
+    """(first sentence, sentence behind the last, hash) of the shortest run that begins and that ends at each sentence, if any.
+
+    They cover all sentences of every longer run, so a whole passage goes if it is a run.
+    """
     words = [p.lower().split() for p in sentences(text)]
+    size = [0]
+    for w in words:
+        size.append(size[-1] + len(w))
+    ends = lambda i, j: size[j] - size[i] >= LONG or (j - i >= SENTENCES and size[j] - size[i] >= WORDS)
+    runs = set()
+    i, j = 0, 1
+    while j <= len(words):  # the first end of a run from i; both only move on
+        if i < j and ends(i, j):
+            runs.add((i, j))
+            i += 1
+        else:
+            j += 1
+    i = 0
+    for j in range(1, len(words) + 1):
+        if ends(i, j):
+            while ends(i + 1, j):
+                i += 1
+            runs.add((i, j))
     out = []
-    for i in range(len(words)):
-        run: list[str] = []
-        for j in range(i, len(words)):
-            run += words[j]
-            if len(run) >= LONG or (j - i + 1 >= SENTENCES and len(run) >= WORDS):
-                h = xxhash.xxh64_intdigest(" ".join(run))
-                out.append((i, j + 1, h - (1 << 64) if h >> 63 else h))
-                break
+    for i, j in sorted(runs):
+        h = xxhash.xxh64_intdigest(" ".join(w for s in words[i:j] for w in s))
+        out.append((i, j, h - (1 << 64) if h >> 63 else h))
     return out
 
 

@@ -107,6 +107,45 @@ def test_repeated_spans_leave_the_first(spark):
     assert "".join(substring.sentences(p)) == p
 
 
+def test_whole_repeated_passages_go(spark):
+    def passage(name, *lengths):
+        return "".join(" ".join(f"{name}{k}w{i}" for i in range(n)) + ". " for k, n in enumerate(lengths))
+
+    shapes = [(25, 25, 10), (45, 39), (20, 21, 1, 2), (5, 5, 5), (38, 1, 1), (14, 25), (7, 7)]
+    rows, want = [], {}
+    for k, shape in enumerate(shapes):
+        p = passage(f"p{k}", *shape)
+        for copy in (0, 1):
+            head, tail = passage(f"h{k}{copy}", 3, 30), passage(f"t{k}{copy}", 30, 3)
+            whole = sum(shape) >= 40 or (len(shape) >= 3 and sum(shape) >= 15)
+            rows.append((10 * k + copy, head + p + tail, "en", "a", 0))
+            want[10 * k + copy] = head + tail if copy and whole else head + p + tail
+    assert {r.doc_id: r.text for r in substring.op7(docs(spark, rows)).collect()} == want
+
+
+def test_repeats_match_all_runs(spark):
+    """All runs of any length, not the shortest ones: of each, every place but the first goes."""
+    r = np.random.default_rng(11)
+    pool = [" ".join(f"s{k}w{i}" for i in range(int(r.choice([1, 4, 9, 16, 26, 41])))) + ". " for k in range(60)]
+    texts = []
+    for d in range(40):
+        k = [int(x) for a in r.integers(0, 55, 3) for x in range(a, a + r.integers(1, 6))]
+        texts.append([pool[x] for x in k] + [f"only {d}. "])
+    first: dict = {}
+    want = {}
+    for d, t in enumerate(texts):
+        dead: set[int] = set()
+        for i in range(len(t)):
+            for j in range(i + 1, len(t) + 1):
+                words = " ".join(t[i:j]).split()
+                if len(words) >= 40 or (j - i >= 3 and len(words) >= 15):
+                    if first.setdefault(tuple(words), (d, i)) != (d, i):
+                        dead.update(range(i, j))
+        want[d] = "".join(x for i, x in enumerate(t) if i not in dead)
+    rows = [(d, "".join(t), "en", "a", 0) for d, t in enumerate(texts)]
+    assert {x.doc_id: x.text for x in substring.op7(docs(spark, rows)).collect()} == want
+
+
 def test_components_match_brute_force(spark):
     r = np.random.default_rng(5)
     fps = []
