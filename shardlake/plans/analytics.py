@@ -168,3 +168,15 @@ def taxonomy_check(t):
 def null_model(t):
     known = t("labels").filter("quality is not null").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
     return known.agg(F.max("n").alias("tp"), (F.sum("n") - F.max("n")).alias("fp"))
+
+
+@query("""WITH i AS (SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+    t AS (SELECT doc_id, 'quality_' || quality AS label, 0 AS pos FROM i WHERE quality IS NOT NULL UNION ALL SELECT doc_id, 'toxic_' || toxic, 1 FROM i WHERE toxic IS NOT NULL),
+    n AS (SELECT label, count(*) AS n, min(doc_id) AS first_doc, min(pos) AS pos FROM t GROUP BY 1), g AS (SELECT * FROM n ORDER BY n DESC, first_doc NULLS LAST, pos, label LIMIT 2),
+    c AS (SELECT coalesce((SELECT sum(n) FROM g), 0)::BIGINT AS tp, (SELECT count(*) FROM g) * (SELECT count(*) FROM i) AS said, (SELECT count(*) FROM t) AS truth)
+    SELECT tp, (said - tp)::BIGINT AS fp, (truth - tp)::BIGINT AS fn, CASE WHEN truth > 0 THEN tp / truth ELSE 0.0::DOUBLE END AS recall, CASE WHEN said > 0 THEN tp / said ELSE 0.0::DOUBLE END AS precision FROM c""")
+def null_model_top2(t):
+    """The two commonest labels, of equals the one of the smallest doc_id (quality before toxic), answered for every labelled row."""
+    label = lambda c: F.concat(F.lit(f"{c}_"), F.col(c).cast("string"))
+    items = t("labels").select("doc_id", F.array_compact(F.array(label("quality"), label("toxic"))).alias("truth")).filter(F.size("truth") > 0)
+    return votes.null_model(items, "truth", "doc_id")

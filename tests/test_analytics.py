@@ -4,6 +4,7 @@ import glob
 import json
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -83,3 +84,24 @@ def test_components_of_all_edges(spark, tmp_path):
         root[max(x, y)] = min(x, y)
     got = [tuple(r) for r in analytics.QUERIES["connected_components_all"](spark, str(tmp_path)).collect()]
     assert len(got) == len(root) and set(got) == {(x, find(x)) for x in root}
+
+
+def test_null_model_answers_two_labels(spark, tmp_path):
+    """Against the counting of the reference; rows that tie, lack a label or lack both."""
+    cases = [
+        [(1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 0, 1), (5, None, 1), (6, None, None), (7, 1, None)],
+        [(3, 1, 1), (1, 0, 0), (2, 1, 0), (4, 0, 1)],
+        [(1, 1, None), (2, None, None)],
+        [],
+    ]
+    for k, data in enumerate(cases):
+        spark.createDataFrame(data, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        truth = [[f"{n}_{v}" for n, v in (("quality", q), ("toxic", x)) if v is not None] for _, q, x in sorted(data)]
+        truth = [x for x in truth if x]
+        g = {f for f, _ in Counter(f for x in truth for f in x).most_common(2)}
+        tp, fp, fn = (sum(len(f(set(x))) for x in truth) for f in (lambda x: g & x, lambda x: g - x, lambda x: x - g))
+        want = (tp, fp, fn, tp / (tp + fn) if tp + fn else 0.0, tp / (tp + fp) if tp + fp else 0.0)
+        assert [tuple(r) for r in analytics.QUERIES["null_model_top2"](spark, f"{tmp_path}/{k}").collect()] == [want]
+        con = duckdb.connect()
+        con.execute(f"create view labels as select * from read_parquet('{tmp_path}/{k}/labels.parquet/*.parquet')")
+        assert con.execute(analytics.SQL["null_model_top2"]).fetchall() == [want]
