@@ -14,6 +14,8 @@ from .common import held_out, ship
 
 #: The filters are learned from at most SAMPLE documents of each language (the smallest hashes of doc_id).
 SAMPLE, BITS, HASHES, N = 400, 1 << 20, 3, 4
+#: A language with fewer recurring n-grams than this is learned from all its n-grams, and is thin.
+RECURRING = 1000
 
 
 def ngrams(text: str, n: int = N) -> list[str]:
@@ -40,6 +42,7 @@ class Filters:
         if len(langs) > 64:
             raise ValueError("a bitmask holds at most 64 languages")
         self.langs, self.slots = langs, np.zeros(BITS, dtype=np.uint64)
+        self.thin = False  # a learned language is thin: low coverage tells nothing about its texts
 
     def add(self, lang: str, grams: list[str]) -> None:
         self.slots[positions(grams).ravel()] |= np.uint64(1 << self.langs.index(lang))
@@ -80,7 +83,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
         seen = top.mapInPandas(count, "g array<string>").select(F.explode("g").alias("g")).groupBy("g").count()
         grams = seen.collect()
         often = [r[0] for r in grams if r[1] > 1]
-        filters.add(lang, often if len(often) >= 1000 else [r[0] for r in grams])
+        few = len(often) < RECURRING
+        filters.add(lang, [r[0] for r in grams] if few else often)
+        filters.thin |= few
     filters.seal()
     return filters
 

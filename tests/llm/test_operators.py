@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shardlake.llm import chat, decontam, html, langid, license, mixing, quality, simhash, substring, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -211,3 +212,20 @@ def test_language_held_out(spark):
     got = langid.op3(docs(spark, a + b + [(90, "123 !", "en", None, 0)])).collect()
     assert all(r.lang_pred == ("en" if r.doc_id < 40 else "fr") for r in got if r.doc_id < 80)
     assert [r.lang_pred for r in got if r.doc_id == 90] == ["und"]
+
+
+def test_language_stage_rejects_by_coverage(spark):
+    known = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    clean = {r.doc_id for r in known.filter("lang is not null").collect() if r.text and any(map(str.isalpha, r.text))}
+    r = np.random.default_rng(2)
+    noise = " ".join("".join(r.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(60))
+    junk = [(9001, noise, None, None, 0), (9002, "Это просто другой язык, которого никто не учил.", None, None, 0), (9003, "123 !", None, None, 0)]
+    got = {x.doc_id for x in corpus_pipeline.language(spark, known.union(docs(spark, junk)), "").collect()}
+    assert clean <= got and not got & {9001, 9002, 9003}
+
+
+def test_language_stage_keeps_what_it_cannot_tell(spark):
+    odd = [(1, "Это просто другой язык", None, None, 0), (2, "one two", None, None, 0), (3, "123 !", None, None, 0), (4, None, None, None, None)]
+    assert {x.doc_id for x in corpus_pipeline.language(spark, docs(spark, odd), "").collect()} == {1, 2}
+    thin = [(k, "the house with that", "en", None, 0) for k in range(10, 30)]
+    assert {x.doc_id for x in corpus_pipeline.language(spark, docs(spark, odd + thin), "").collect()} == {1, 2, *range(10, 30)}
