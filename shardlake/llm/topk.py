@@ -48,19 +48,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     Vectors that are null, have null or non-finite components or no id take no part; shorter ones miss the
     further terms. Ties go to the smaller id. Candidates are dealt in blocks, queries in blocks too; each pair
     of blocks is one bounded group, and only k rows a query and block are merged. A repeated id as query
-    gives one list; as candidate, each row counts.
+    gives one list, the k best of all its rows' searches (equal rows are searched once, and count each); as candidate,
+    each row counts.
     """
     ship(vectors)
     x = F.col(vec_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < math.inf))
     v = vectors.filter(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("w"))
-    q = v.filter(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
+    q = v.filter(is_query(F.col("vec_id"))).groupBy("vec_id", "w").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
     n, nq = v.count(), q.count()
     nc, nb = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(nq / QUERIES))
-    deal = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
+    deal = lambda m, seed, *by: F.pmod(F.xxhash64("vec_id", *by, F.lit(seed)), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     cands = v.withColumn("cb", deal(nc, 2)).withColumn("qb", every(nb))
-    asks = q.withColumn("qb", deal(nb, 1)).withColumn("cb", every(nc))
+    asks = q.withColumn("qb", deal(nb, 1, "w")).withColumn("cb", every(nc))
 
     def search(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -72,7 +73,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
                 for i, w in enumerate(f["w"]):
                     m[i, : len(w)] = w
             own = a["vec_id"].to_numpy()
-            rows = [(int(own[i]), j, s) for i, j, s in accumulate(*dense, own, c["vec_id"].to_numpy(), k)]
+            copies = a["copies"].to_numpy()
+            rows = [(int(own[i]), j, s) for i, j, s in accumulate(*dense, own, c["vec_id"].to_numpy(), k) for _ in range(copies[i])]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = asks.groupBy("cb", "qb").cogroup(cands.groupBy("cb", "qb")).applyInPandas(search, "query_id long, vec_id long, score long")

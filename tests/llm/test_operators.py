@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,19 @@ def test_top_k_matches_brute_force(spark):
     assert {tuple(x) for x in got} == want
 
 
+def test_repeated_query_ids_match_sql(spark):
+    r = np.random.default_rng(4)
+    v = r.normal(0, 1, (60, 6)).astype(np.float32)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(55)] + [(0, [float(x) for x in v[k]]) for k in (55, 56, 55)] + [(50, [float(x) for x in v[50]]), (7, [float(x) for x in v[57]])]
+    vectors = pd.DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841
+    con = duckdb.connect()
+    con.execute("create view embeddings as select vec_id, embedding::float[] as embedding from vectors")
+    want = sorted(con.execute(topk.SQL).fetchall())
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for parts in (1, 5):
+        assert sorted(map(tuple, topk.op4(frame.repartition(parts)).collect())) == want
+
+
 def test_targets_fill_by_weight(spark):
     s = spark.createDataFrame([("a", 100), ("b", 100), ("c", 10), (None, 50)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(s).collect()}
