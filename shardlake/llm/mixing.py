@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = MAX_REPEAT) -> DataFrame:
-    """Add size, source_size, target and repeats (0, 1 or 2) to every document.
+    """Add size, source_size, target and repeats (0 up to cap, rounded up) to every document.
 
     A source's target is met by whole repeats of all its documents, plus the documents whose hash of doc_id
     and text lies under the source's threshold. Histograms of size by source and bucket find the threshold;
@@ -46,10 +48,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = MAX
     key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
     h = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
     rows = durable(docs.withColumn("size", size).withColumn("_h", F.shiftright(h, 32 - BITS * LEVELS)).drop("source_size", "target", "repeats", "_low", "_need", "_s"))
-    return _select(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
+    return _select(rows, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), math.ceil(cap))
 
 
-def _select(rows: DataFrame, goal: DataFrame) -> DataFrame:
+def _select(rows: DataFrame, goal: DataFrame, most: int) -> DataFrame:
     goal = goal.withColumn("_base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     goal = durable(goal.withColumn("_need", F.col("target") - F.col("_base") * F.col("source_size")).withColumn("_low", F.lit(0).cast("long")).withColumnRenamed("source", "_s"))
     lean = rows.select("source", "size", "_h")
@@ -71,7 +73,7 @@ def _select(rows: DataFrame, goal: DataFrame) -> DataFrame:
     out = rows.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("_s")))
     # Where the target is all repeats allowed, nothing is under the threshold that would go beyond them.
     extra = F.when(F.col("_h") < F.col("_low"), 1).otherwise(0)
-    return out.withColumn("repeats", F.least(F.col("_base") + extra, F.lit(int(MAX_REPEAT)))).drop("_s", "_h", "_base", "_need", "_low")
+    return out.withColumn("repeats", F.least(F.col("_base") + extra, F.lit(most))).drop("_s", "_h", "_base", "_need", "_low")
 
 
 def op5(docs: DataFrame) -> DataFrame:

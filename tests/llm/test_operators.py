@@ -106,6 +106,13 @@ def test_mix_comes_near(spark):
     assert one == sorted(map(tuple, mixing.op5(docs(spark, rows)).repartition(3).collect()))
 
 
+def test_mix_repeats_up_to_the_cap(spark):
+    rows = [(i, "w " * 10, "en", "ab"[i < 10], 0) for i in range(200)]
+    for cap, most in ((3, 3), (1.5, 2), (2, 2)):
+        out = mixing.mix(docs(spark, rows), weights=(1, 100), cap=cap).filter("source = 'b'").agg(F.sum(F.col("size") * F.col("repeats")).alias("t"), F.first("target").alias("g"), F.max("repeats").alias("m")).collect()[0]
+        assert out.g == pytest.approx(100 * cap) and abs(out.t - out.g) <= 10 and out.m == most
+
+
 def test_sum_of_squares_identity():
     m = quality.Machine(3)
     m.w = np.random.default_rng(0).normal(size=quality.FIELDS)
