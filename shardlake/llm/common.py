@@ -23,10 +23,34 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shardlake-"))
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shardlake-"))  # one machine: its own folder is shared
     return df.checkpoint(eager=True)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(v, c): the smallest vertex that each vertex of the edges (a, b) reaches, by contraction.
+
+    Each round, every vertex hooks onto its smallest neighbour if that is smaller, and edges and labels are renamed; edges inside
+    a part vanish. Joins on a hub or a large part's label read checkpoints on both sides, so adaptive execution can split them.
+    Null ends take no part; a loop makes a part of its own; without edges there is no row.
+    """
+    live = durable(edges.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    label = durable(live.select(F.col("a").alias("v")).union(live.select("b")).distinct().select("v", F.col("v").alias("c")))
+    live = live.filter("a <> b")
+    while not live.isEmpty():
+        hook = durable(live.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")))
+        jump = hook.join(hook.select(F.col("x").alias("x2"), F.col("y").alias("y2")), F.col("y") == F.col("x2"), "left")
+        hook = durable(jump.select("x", F.coalesce("y2", "y").alias("y")))
+        label = durable(label.join(hook, F.col("c") == F.col("x"), "left").select("v", F.coalesce("y", "c").alias("c")))
+        near = live.join(hook, F.col("a") == F.col("x")).select(F.col("y").alias("a"), "b")
+        far = hook.select(F.col("x").alias("x2"), F.col("y").alias("y2"))
+        near = near.join(far, F.col("b") == F.col("x2"), "left").select("a", F.coalesce("y2", "b").alias("b")).filter("a <> b")
+        live = durable(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return label
+
+
 def ship(df: DataFrame) -> None:
     """Send the package to the executors, once a context: they need not have it installed."""
     sc = df.sparkSession.sparkContext

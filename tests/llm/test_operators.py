@@ -169,7 +169,11 @@ def test_repeats_match_all_runs(spark):
     assert {x.doc_id: x.text for x in substring.op7(docs(spark, rows)).collect()} == want
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("small, levels", [(512, 3), (3, 1), (3, 0)])
+def test_components_match_brute_force(spark, monkeypatch, small, levels):
+    """Also with buckets that are split, and with midpoints."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "LEVELS", levels)
     r = np.random.default_rng(5)
     fps = []
     for _ in range(30):
@@ -195,6 +199,14 @@ def test_components_match_brute_force(spark):
     assert got == {f: root(f) for f in fps}
 
 
+def test_one_of_each_component(spark):
+    t = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [(5, t, "en", "a", 0), (3, t, "en", "b", 0), (3, t, "en", "b", 0), (3, t.upper(), "en", "b", 0), (None, t, "en", "c", 0), (7, None, "en", "a", 0), (6, "", None, "a", None), (None, "quite another text is here to stay for good", None, None, 0)]
+    got = [tuple(x) for x in simhash.one_of_each(docs(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([next(x for x in rows[1:4] if x[1] == min((t, t.upper()), key=lambda u: spark.createDataFrame([(u,)], "s string").select(F.xxhash64("s")).first()[0])), rows[6], rows[7]], key=repr)
+    assert simhash.one_of_each(docs(spark, [])).count() == 0
+
+
 def test_fingerprint_by_spark_hash(spark):
     t = "The quick\tbrown fox jumps over"
     h = [r[0] & ((1 << 64) - 1) for r in spark.createDataFrame([("the quick brown fox",), ("quick brown fox jumps",), ("brown fox jumps over",)], "s string").select(F.xxhash64("s")).collect()]
