@@ -106,6 +106,32 @@ def test_mix_comes_near(spark):
     assert one == sorted(map(tuple, mixing.op5(docs(spark, rows)).repartition(3).collect()))
 
 
+def test_equal_rows_are_counted_out(spark):
+    rows = [(1, "w w w", "en", "a", 0)] * 1000 + [(k, "w", "en", "b", 0) for k in range(10, 310)] + [(2, None, "en", "c", 0)] * 3
+    got = mixing.op5(docs(spark, rows)).groupBy("source_size").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in got) == 1303 and all(abs(r.t - r.g) <= 1.5 for r in got) and max(r.g for r in got) == 4350
+
+
+def test_targets_of_many_sources(spark):
+    r = np.random.default_rng(9)
+    names = [None, *(f"s{k:04d}" for k in range(400))]
+    sizes = [(n, int(r.integers(0, 5000))) for n in names]
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {n: (3, 1, 2)[k % 3] for k, (n, _) in enumerate(order)}
+    want, free, left = {}, dict(sizes), 1.5 * sum(x for _, x in sizes)
+    while free:  # cap all that the level overflows, again and again
+        level = left / sum(weight[n] for n in free)
+        over = [n for n in free if 2 * free[n] < level * weight[n]]
+        if not over:
+            want |= {n: level * weight[n] for n in free}
+            break
+        for n in over:
+            want[n] = 2 * free.pop(n)
+            left -= want[n]
+    got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(7)).collect()}
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n]) for n in got)
+
+
 def test_mix_repeats_up_to_the_cap(spark):
     rows = [(i, "w " * 10, "en", "ab"[i < 10], 0) for i in range(200)]
     for cap, most in ((3, 3), (1.5, 2), (2, 2)):
