@@ -30,8 +30,8 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def spans(text: str) -> list[tuple[int, int, int]]:
-    """(first sentence, sentence behind the last, hash) of the shortest run that begins and that ends at each sentence, if any.
+def spans(text: str) -> list[tuple[int, int, int, int]]:
+    """(first sentence, sentence behind the last, two hashes that are halves of one of 128 bits) of the shortest run that begins and that ends at each sentence, if any.
 
     They cover all sentences of every longer run, so a whole passage goes if it is a run.
     """
@@ -56,14 +56,19 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             runs.add((i, j))
     out = []
     for i, j in sorted(runs):
-        h = xxhash.xxh64_intdigest(" ".join(w for s in words[i:j] for w in s))
-        out.append((i, j, h - (1 << 64) if h >> 63 else h))
+        h = xxhash.xxh3_128_intdigest(" ".join(w for s in words[i:j] for w in s))
+        out.append((i, j, *(x - (1 << 64) if x >> 63 else x for x in divmod(h, 1 << 64))))
     return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with repeated runs taken out of text, plus n_sentences and n_removed.
 
+    A run is several consecutive sentences: SENTENCES or more with WORDS words or more together, or any number with LONG words or more,
+    a single one included (long sentences are repeated passages too). Shorter repeats stay. Every run consists of the shortest runs
+    that begin and that end at its sentences, so only those are hashed, to 128 bits: among 10**12 runs two different ones share a
+    hash with a probability under 10**-14.
+
     First is the smallest (doc_id, text hash, sentence), null ids last; every other place of a run that occurs more than once loses all
     its sentences. Spaces inside a run and case do not matter. Null texts stay null, empty ones empty; equal rows
     count as one document. Runs are pre-aggregated by hash before the shuffle; the join back is by hash, but for hot
@@ -77,23 +82,24 @@ def dedup(docs: DataFrame) -> DataFrame:
     def emit(batches):
         for b in batches:
             d = b.to_pydict()
-            at, first, end, hashes = [], [], [], []
+            at, first, end, halves, hashes = [], [], [], [], []
             for k, t in enumerate(d["text"]):
-                for i, j, h in spans(t):
+                for i, j, g, h in spans(t):
                     at.append(k)
                     first.append(i)
                     end.append(j)
+                    halves.append(g)
                     hashes.append(h)
             idx = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(hashes, pa.int64())], names=["d", "k", "i", "j", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(halves, pa.int64()), pa.array(hashes, pa.int64())], names=["d", "k", "i", "j", "g", "h"])
 
     lean = docs.filter("text is not null").select(F.col("doc_id").alias("d"), key.alias("k"), "text")
-    schema = StructType([*lean.schema.fields[:2]]).add("i", "integer").add("j", "integer").add("h", "long")
+    schema = StructType([*lean.schema.fields[:2]]).add("i", "integer").add("j", "integer").add("g", "long").add("h", "long")
     runs = durable(lean.mapInArrow(emit, schema))
     place = F.struct(F.col("d").isNull().alias("nil"), "d", "k", "i")
-    firsts = durable(runs.groupBy(F.col("h").alias("fh")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    firsts = durable(runs.groupBy(F.col("h").alias("fh"), F.col("g").alias("fg")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     share = F.col("n") * HOT > runs.count()
-    hot, same = F.broadcast(firsts.filter(share)), F.col("h") == F.col("fh")
+    hot, same = F.broadcast(firsts.filter(share)), (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg"))
     again = runs.join(hot, same).union(runs.join(hot, same, "left_anti").join(firsts.filter(~share), same))
     again = again.filter(place != F.col("first"))
     cover = again.groupBy(F.col("d").alias("_d"), F.col("k").alias("_k")).agg(F.collect_set(F.struct("i", "j")).alias("_cover"))

@@ -28,18 +28,28 @@ def items(spark):
 
 
 def without_repeats(docs):
-    """Texts by doc_id: walk all documents in order, and cut every run that was seen at an earlier place."""
-    first: dict = {}
-    out = {}
+    """Texts by doc_id: all runs of sentences of any length, as texts; each loses every place but its first. Splits sentences by itself."""
+    pieces, first, out = {}, {}, {}
     for d, text, _ in docs:
-        if text is None:
-            out[d] = None
-            continue
+        pieces[d] = []
+        for p in re.findall(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+", text or ""):
+            if pieces[d] and not re.search(r"[^\W_]", p):
+                pieces[d][-1] += p
+            else:
+                pieces[d].append(p)
+    for d, text, _ in docs:
+        words = [p.lower().split() for p in pieces[d]]
         dead: set[int] = set()
-        for i, j, h in substring.spans(text):
-            if first.setdefault(h, (d, i)) != (d, i):
-                dead.update(range(i, j))
-        out[d] = "".join(s for i, s in enumerate(substring.sentences(text)) if i not in dead)
+        for i in range(len(words)):
+            run: list = []
+            for j in range(i, len(words)):
+                run += words[j]
+                if len(run) >= 40 or (j - i >= 2 and len(run) >= 15):
+                    if first.setdefault(" ".join(run), (d, i)) != (d, i):
+                        dead.update(range(i, j + 1))
+                if len(run) >= 400:  # longer runs repeat only where these do: all their parts have been seen
+                    break
+        out[d] = text if text is None else "".join(s for i, s in enumerate(pieces[d]) if i not in dead)
     return out
 
 
