@@ -87,15 +87,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     ship(docs)
     known = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
     known = known.filter(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), "_y")
+    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id", "text").alias("_key"), "text", F.col("n_chars").cast("long").alias("n_chars"), "_y")
 
     def extract(batches):
         for b in batches:
             d = b.to_pydict()
             f = [features(t, n) for t, n in zip(d["text"], d["n_chars"])]
-            yield pa.RecordBatch.from_arrays([pa.array(d["doc_id"], pa.int64()), pa.array([x.tolist() for x, _ in f], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in f], pa.list_(pa.float64())), pa.array(d["_y"], pa.int32())], names=["d", "i", "v", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(d["_key"], pa.int64()), pa.array([x.tolist() for x, _ in f], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in f], pa.list_(pa.float64())), pa.array(d["_y"], pa.int32())], names=["d", "i", "v", "y"])
 
-    got = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(extract, "d long, i array<long>, v array<double>, y int").collect()
+    got = rows.mapInArrow(extract, "d long, i array<long>, v array<double>, y int").collect()
     got.sort(key=lambda r: (r["d"], r["y"], r["v"]))
     return Machine().fit([(np.array(r["i"]), np.array(r["v"]), r["y"]) for r in got])
 
