@@ -91,6 +91,13 @@ def test_repeated_query_ids_match_sql(spark):
         assert sorted(map(tuple, topk.op4(frame.repartition(parts)).collect())) == want
 
 
+def test_scores_beyond_64_bits_are_kept_in_range(spark):
+    rows = [(0, [1e16, 1.0]), (1, [1e16, 0.0]), (2, [-1e300, 3.0]), (3, [0.5, 0.5]), (50, [0.0])]
+    got = [tuple(x) for x in topk.op4(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    big = 256 * 10**16
+    assert [x[2:] for x in sorted(got) if x[0] == 0] == [(1, topk.MOST), (3, 128 * big + 256 * 128 if 128 * big + 256 * 128 < topk.MOST else topk.MOST), (50, 0), (2, topk.LEAST)]
+
+
 def test_targets_fill_by_weight(spark):
     s = spark.createDataFrame([("a", 100), ("b", 100), ("c", 10), (None, 50)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(s).collect()}
@@ -156,6 +163,16 @@ def test_repeated_spans_leave_the_first(spark):
     assert "".join(substring.sentences(p)) == p
 
 
+def test_repeats_in_odd_rows(spark):
+    """Of rows with equal ids or none, the one with the smaller text hash counts as the first; equal rows are one document."""
+    p = "".join(f"The repeated sentence number {i} has some words. " for i in range(9))
+    rows = [(None, p + "A null id.", "en", "a", 0), (4, p, "en", "a", 0), (4, p, "en", "b", 0), (4, "Other. " + p, "en", "a", 0), (5, p.upper(), "en", "a", 0), (6, None, "en", "a", 0), (7, "", "en", "a", 0)]
+    got = sorted(map(tuple, substring.dedup(docs(spark, rows).withColumn("n_removed", F.lit("clash"))).select("doc_id", "text", "source", "n_removed").collect()), key=repr)
+    kept = [r for r in got if r[1] and p in r[1]]
+    assert {r[0] for r in kept} == {4} and len({r[1] for r in kept}) == 1 and len(got) == 7
+    assert (6, None, "a", 0) in got and (7, "", "a", 0) in got and (5, "", "a", 9) in got and (None, "A null id.", "a", 9) in got
+
+
 def test_whole_repeated_passages_go(spark):
     def passage(name, *lengths):
         return "".join(" ".join(f"{name}{k}w{i}" for i in range(n)) + ". " for k, n in enumerate(lengths))
