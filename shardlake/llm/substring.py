@@ -14,7 +14,7 @@ from .common import durable, ship
 
 #: A run ends with its third sentence or later, once it has 15 words, or with any sentence that brings it to 40.
 SENTENCES, WORDS, LONG = 3, 15, 40
-#: A run is hot if it has more than one HOT-th of all places: fewer than HOT runs can be, however large the input.
+#: A run is hot if it has more than one HOT-th of all places of repeated runs: fewer than HOT runs can be, however large the input.
 HOT = 1000
 PIECE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 
@@ -95,10 +95,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     lean = docs.filter("text is not null").select(F.col("doc_id").alias("d"), key.alias("k"), "text")
     schema = StructType([*lean.schema.fields[:2]]).add("i", "integer").add("j", "integer").add("g", "long").add("h", "long")
-    runs = durable(lean.mapInArrow(emit, schema))
+    runs = lean.mapInArrow(emit, schema)  # made twice: to keep them would take more disk than the texts
     place = F.struct(F.col("d").isNull().alias("nil"), "d", "k", "i")
     firsts = durable(runs.groupBy(F.col("h").alias("fh"), F.col("g").alias("fg")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    share = F.col("n") * HOT > runs.count()
+    share = F.col("n") * HOT > (firsts.agg(F.sum("n")).first()[0] or 0)
     hot, same = F.broadcast(firsts.filter(share)), (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg"))
     again = runs.join(hot, same).union(runs.join(hot, same, "left_anti").join(firsts.filter(~share), same))
     again = again.filter(place != F.col("first"))
