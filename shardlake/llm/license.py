@@ -17,8 +17,17 @@ TEMPLATES = {
     "this work is licensed under a creative commons attribution noncommercial license": "cc-by-nc",
     "licensed under the gnu general public license version 3": "gpl-3",
     "redistribution and use in source and binary forms with or without modification are permitted provided that": "bsd",
+    "you should have received a copy of the gnu general public license along with this program": "gpl",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "licensed under a creative commons attribution 4 0 international license": "cc-by",
+    "licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
 }
-COVER, GAP = 0.8, 2
+#: A span takes the votes of the diagonals from its own to BAND further: so many words may be added in all.
+COVER, BAND = 0.8, 4
 
 
 def words(text: Column) -> Column:
@@ -31,39 +40,41 @@ def _templates(spark: SparkSession, base: dict, extra: dict, k: int) -> DataFram
     for t, (phrase, label) in enumerate([*base.items(), *extra.items()]):
         w = phrase.split()
         rows += [(t, p, " ".join(w[p : p + k]), len(w) - k + 1, label, t < len(base)) for p in range(len(w) - k + 1)]
-    return spark.createDataFrame(rows, "t int, p int, gram string, grams int, label string, is_base boolean").withColumn("hash", F.xxhash64("gram"))
+    return spark.createDataFrame(rows, "t int, p int, gram string, grams int, label string, is_base boolean").withColumn("hash", F.xxhash64(*[F.split("gram", " ")[j] for j in range(k)]))
 
 
 def scan(docs: DataFrame, base: dict = BASE, extra: dict = TEMPLATES, k: int = K) -> DataFrame:
     """One row per document: words, places of the base phrases, labels, score and the verified spans.
 
-    Every rolling k-gram's hash is joined to the template positions (a fixed list of some dozens of rows,
-    broadcast); only hits and one marker a document are shuffled. Hits vote for diagonals (document position
-    minus template position); neighbouring diagonals of one template at most GAP apart merge. A base span is verified as all k-grams on one diagonal, the others as COVER of
-    them. Null texts are empty; rows with equal doc_id and text are told apart by count and come back as often
-    as they came; texts under k words give no hit. score: the largest share of a template covered.
+    Every rolling k-gram's hash is compared with those of the templates (a fixed list of some hundred positions) and those that match
+    are joined to the positions by hash and text; only hits and one marker a document are shuffled. Hits vote for diagonals (document
+    position minus template position). From each diagonal, those up to BAND further merge into a span, so every counted position
+    lies where the template puts it, but for BAND words. A base span is verified as all k-grams on one diagonal, the others as
+    COVER of them. Null texts are empty; rows with equal doc_id and text are told apart by count and come back as often
+    as they came; texts under k words give no hit. A text's words are held in one row, however many. score: the largest share of a
+    template covered. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_x"))
     d = d.select("doc_id", F.xxhash64("_x").alias("_key"), words(F.col("_x")).alias("_w"))
     n = F.size("_w")
+    templates = _templates(spark, base, extra, k)
+    wanted = [r[0] for r in templates.select("hash").distinct().collect()]
     gram = lambda i: F.array_join(F.slice("_w", i + 1, k), " ")
     starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.struct(i.alias("i"), gram(i).alias("g")))
+    rolling = lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(k)])
+    grams = F.transform(F.filter(starts, lambda i: rolling(i).isin(wanted)), lambda i: F.struct(i.alias("i"), gram(i).alias("g")))
     mark = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("g")))
     long = d.select("doc_id", "_key", n.cast("long").alias("n_words"), F.explode(F.concat(mark, grams)).alias("_g"))
     long = long.select("doc_id", "_key", "n_words", F.col("_g.i").alias("i"), F.col("_g.g").alias("g"))
-    t = F.broadcast(_templates(spark, base, extra, k))
-    hits = long.join(t, (F.xxhash64("g") == t["hash"]) & (F.col("g") == F.col("gram")), "left").filter(F.col("t").isNotNull() | (F.col("i") < 0))
+    hits = long.join(F.broadcast(templates.drop("hash")), F.col("g") == F.col("gram"), "left").filter(F.col("t").isNotNull() | (F.col("i") < 0))
     who = ["doc_id", "_key", "n_words"]
     # Repeated rows double every hit: distinct positions are counted, the marker's count brings the rows back.
-    votes = hits.groupBy(*who, "t", (F.col("i") - F.col("p")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("_n"), F.size(F.collect_set("p")).alias("votes"), F.collect_set("p").alias("ps"), F.first("grams").alias("grams"), F.first("label").alias("label"), F.first("is_base").alias("is_base"))
-    per = Window.partitionBy(*who, "t").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(per) > GAP, F.lit(True))
-    runs = votes.withColumn("_run", F.when(F.col("is_base"), F.row_number().over(per)).otherwise(F.sum(far.cast("int")).over(per)))
-    spans = runs.groupBy(*who, "t", "_run").agg(F.max("_n").alias("_n"), F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("cover"),
-        F.first("grams").alias("grams"), F.first("label").alias("label"), F.first("is_base").alias("is_base"))
+    votes = hits.groupBy(*who, "t", (F.col("i") - F.col("p")).alias("start")).agg(
+        F.count(F.lit(1)).alias("_n"), F.collect_set("p").alias("ps"), F.first("grams").alias("grams"), F.first("label").alias("label"), F.first("is_base").alias("is_base"))
+    band = Window.partitionBy(*who, "t").orderBy("start").rangeBetween(0, BAND)
+    merged = F.size(F.array_distinct(F.flatten(F.collect_list("ps").over(band))))
+    spans = votes.withColumn("cover", F.when(F.col("is_base"), F.size("ps")).otherwise(merged))
     share = F.col("cover") / F.col("grams")
     ok_base = F.col("is_base") & (F.col("cover") == F.col("grams"))
     ok = ok_base | (share >= COVER)
@@ -93,9 +104,8 @@ d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(t
     '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT r, i, {_GRAM.format("i")} AS gram FROM (SELECT r, w, unnest(range(len(w) - {K - 1})) AS i FROM d WHERE len(w) >= {K})),
 v AS (SELECT r, t, i - p AS diagonal, list(DISTINCT p) AS ps, any_value(grams) AS grams, any_value(label) AS label, any_value(is_base) AS is_base FROM g JOIN tg USING (gram) GROUP BY r, t, i - p),
-f AS (SELECT *, row_number() OVER per AS pos, coalesce(diagonal - lag(diagonal) OVER per > {GAP}, true) AS far FROM v WINDOW per AS (PARTITION BY r, t ORDER BY diagonal)),
-u AS (SELECT *, CASE WHEN is_base THEN pos ELSE sum(far::INTEGER) OVER (PARTITION BY r, t ORDER BY diagonal) END AS run FROM f),
-s AS (SELECT r, any_value(label) AS label, min(diagonal) AS start, len(list_distinct(flatten(list(ps)))) / any_value(grams) AS share, any_value(is_base) AS is_base FROM u GROUP BY r, t, run),
+u AS (SELECT r, label, is_base, diagonal AS start, grams, len(CASE WHEN is_base THEN ps ELSE list_distinct(flatten(list(ps) OVER (PARTITION BY r, t ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {BAND} FOLLOWING))) END) AS cover FROM v),
+s AS (SELECT r, label, start, cover / grams AS share, is_base FROM u),
 o AS (SELECT r, count(*) FILTER (is_base AND share = 1) AS n_base, min(start) FILTER (is_base AND share = 1) AS first_word, max(start) FILTER (is_base AND share = 1) AS last_word,
     {_SAY("is_base AND share = 1")} AS base_labels, {_SAY(f"(is_base AND share = 1) OR share >= {COVER}")} AS labels, max(share) AS score FROM s GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
