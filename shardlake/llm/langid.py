@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import held_out, ship
+from .common import durable, held_out, ship
 
-#: The filters are learned from at most SAMPLE documents of each language (the smallest hashes of doc_id).
-SAMPLE, BITS, HASHES, N = 400, 1 << 20, 3, 4
-#: A language with fewer recurring n-grams than this is learned from all its n-grams, and is thin.
+#: The filters are learned from at most SAMPLE documents of each language (the smallest hashes of doc_id and text).
+SAMPLE, HASHES, N = 400, 3, 4
+#: Slots a learned n-gram of the largest language: with HASHES of them set for each, one in seven slots has that language's bit.
+SLOTS = 20
+#: A language with fewer recurring n-grams (in two or more of its sampled documents) is thin: a low coverage tells nothing about its texts.
 RECURRING = 1000
+#: Most chosen documents (two longs each) of a broadcast list; more are joined by a shuffle.
+BROADCAST = 200_000
 
 
 def ngrams(text: str, n: int = N) -> list[str]:
@@ -28,27 +31,29 @@ def ngrams(text: str, n: int = N) -> list[str]:
     return sorted(out)
 
 
-def positions(grams: list[str]) -> np.ndarray:
-    """HASHES slots of each n-gram, by double hashing."""
-    h = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.uint64(BITS) for i in range(HASHES)]).astype(np.int64)
+def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """HASHES slots of each hashed n-gram, by double hashing."""
+    a, b = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(HASHES)]).astype(np.int64)
 
 
-class Filters:
-    """One bitmask of languages per slot; the AND of an n-gram's slots holds all languages that contain it."""
-
-    def __init__(self, langs: list[str]):
-        if len(langs) > 64:
-            raise ValueError("a bitmask holds at most 64 languages")
-        self.langs, self.slots = langs, np.zeros(BITS, dtype=np.uint64)
-        self.thin = False  # a learned language is thin: low coverage tells nothing about its texts
+def hashed(grams: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams))
 
-    def add(self, lang: str, grams: list[str]) -> None:
-        self.slots[positions(grams).ravel()] |= np.uint64(1 << self.langs.index(lang))
 
-    def seal(self) -> None:
-        fill = np.array([((self.slots >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(self.langs))])
+class Filters:
+    """A bitmask of languages per slot, of as many 64-bit words as they need; the AND of an n-gram's slots holds all languages that contain it."""
+
+    def __init__(self, learned: dict[str, np.ndarray]):
+        """learned: hashed n-grams by language."""
+        self.langs = sorted(learned)
+        most = max((len(g) for g in learned.values()), default=1)
+        self.bits = 1 << max(10, (SLOTS * most - 1).bit_length())
+        self.slots = np.zeros((-(-len(self.langs) // 64), self.bits), dtype=np.uint64)
+        self.thin = False
+        for k, lang in enumerate(self.langs):
+            self.slots[k // 64][positions(learned[lang], self.bits).ravel()] |= np.uint64(1 << k % 64)
+        fill = np.array([((self.slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(self.langs))])
         self.false = np.minimum(fill**HASHES, 0.99)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -56,37 +61,55 @@ class Filters:
         grams = ngrams(text or "")
         if not grams or not self.langs:
             return "und", 0.0, 0.0
-        slots = self.slots[positions(grams)]
-        mask = np.bitwise_and.reduce(slots, axis=0)
+        at = positions(hashed(grams), self.bits)
         n = len(grams)
-        hits = np.array([int(((mask >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(len(self.langs))])
-        real = np.clip((hits - n * self.false) / (1 - self.false), 0, None)
+        hits = []
+        for k in range(len(self.langs)):
+            if k % 64 == 0:
+                word = self.slots[k // 64]
+                mask = word[at[0]]
+                for row in at[1:]:
+                    mask = mask & word[row]
+            hits.append(np.count_nonzero(mask & np.uint64(1 << k % 64)))
+        real = np.clip((np.array(hits) - n * self.false) / (1 - self.false), 0, None)
         best = int(real.argmax())
         total = real.sum()
         return self.langs[best], float(real[best] / total) if total else 0.0, float(min(1.0, real[best] / n))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
-    """Filters of a bounded sample: n-grams seen in two or more of a language's sampled documents, or all if few."""
+    """Filters of all n-grams of a bounded sample of each language.
+
+    One pass counts the languages and one chooses documents whose hash lies under a threshold that some twice the sample pass, of
+    which the smallest hashes are ranked; both carry no texts. Texts of the chosen ones are then fetched by key, and each distinct
+    n-gram of a language comes to the driver as a hash and a count. What the driver gets grows with the languages, not with the documents.
+    """
     ship(docs)
-    rows = docs.filter("text is not null and lang is not null").select("doc_id", "lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("_h"), "text")
-    langs = [r[0] for r in rows.select("lang").distinct().sort("lang").limit(65).collect()]
-    filters = Filters(langs)
-    for lang in langs:
-        # A top-k by hash keeps `sample` rows a task; the n-grams, not the texts, come to the driver.
-        top = rows.filter(F.col("lang") == lang).orderBy("_h", "doc_id").limit(sample).select("text")
-
-        def count(frames):
-            for f in frames:
-                yield pd.DataFrame({"g": [ngrams(t) for t in f["text"]]})
-
-        seen = top.mapInPandas(count, "g array<string>").select(F.explode("g").alias("g")).groupBy("g").count()
-        grams = seen.collect()
-        often = [r[0] for r in grams if r[1] > 1]
-        few = len(often) < RECURRING
-        filters.add(lang, [r[0] for r in grams] if few else often)
-        filters.thin |= few
-    filters.seal()
+    rows = docs.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("_h"))
+    counts = durable(rows.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n")))
+    share = F.pmod(F.col("_h"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    near = rows.select("lang", "_h").join(F.broadcast(counts) if counts.count() <= BROADCAST else counts, F.col("lang") == F.col("_l")).filter(share * F.col("_n") <= 2 * sample)
+    best = Window.partitionBy("lang").orderBy("_h")
+    chosen = durable(near.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= sample).select(F.col("lang").alias("_l"), F.col("_h").alias("_k")))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen
+    texts = rows.join(chosen, (F.col("lang") == F.col("_l")) & (F.col("_h") == F.col("_k")), "left_semi").select("lang", "_h", "text")
+
+    def cut(batches):
+        for b in batches:
+            d = b.to_pydict()
+            h = [hashed(ngrams(t)).view(np.int64) for t in d["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(d["lang"], b.schema.field(0).type), pa.array(d["_h"], pa.int64()), pa.array(h, pa.list_(pa.int64()))], names=["lang", "_h", "g"])
+
+    grams = texts.mapInArrow(cut, StructType([texts.schema["lang"], texts.schema["_h"]]).add("g", ArrayType(LongType())))
+    # Equal rows are one document.
+    seen = grams.select("lang", "_h", F.explode("g").alias("g")).distinct().groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+    learned: dict[str, list] = {r[0]: [] for r in counts.select("_l").collect()}
+    often = dict.fromkeys(learned, 0)
+    for lang, g, n in seen.collect():
+        learned[lang].append(g)
+        often[lang] += n > 1
+    filters = Filters({k: np.array(sorted(g), dtype=np.int64).view(np.uint64) for k, g in learned.items()})
+    filters.thin = any(n < RECURRING for n in often.values())
     return filters
 
 
@@ -94,11 +117,11 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """Add lang_pred, score and coverage to every document (columns of these names are replaced).
 
     `und` with score 0: null and empty texts, and those without a letter. Rows are scored one by one from
-    their whole text; ties go to the language that sorts first; without any learned language all are `und`.
+    their whole text, however long (memory is that of its distinct n-grams); ties go to the language that sorts first; without any learned language all are `und`.
     """
     ship(docs)
     lean = docs.drop("lang_pred", "score", "coverage")
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # BITS words of 8 bytes, at any input size
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the sample and the languages
 
     fields = StructType([*lean.schema.fields]).add("lang_pred", "string").add("score", "double").add("coverage", "double")
     return lean.mapInArrow(lambda batches: _arrow(batches, shared), fields)

@@ -64,6 +64,59 @@ def test_main_text():
     assert html.main_text(None) == html.main_text("") == ""
 
 
+PARAGRAPHS = ["The harbour town was quiet that morning, and the boats had not yet come home from the northern banks.", "And with.", "Nobody could say, when asked about it later, who had been the first to see the smoke over the lighthouse."]
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><article>{}</article></body>", "<div class='layout with-sidebar'><main>{}</main><div class='sidebar-left'>Side text</div></div>",
+    "<div class='page-with-header no-comments'><article>{}</article></div>", "<form><input name=x><nav><a href=/>Home</a></nav><article>{}</article><footer>End</footer></form>",
+    "<html><head><title>T</title><meta charset=utf-8><body><article>{}</article>", "<html><head><title>T</title><article>{}</article>",
+    "<div class='widget banner'><article>{}</article></div>", "<article>{}<footer>By someone</footer></article>",
+    "<aside class=related><article><p>Another article is here to be read, with many words of its own to be found in it.</p></article></aside><article>{}</article><section id=comments><article><p>A comment that is quite long and says many things, all of them off the point. It goes on and on, and it never stops going on.</p></article></section>",
+    "<div><ul class=breadcrumbs><li><a href=/>Start</a></ul><div class=story>{}</div></div><div class='cookieNotice'>We use cookies. Click to accept them all.</div>",
+    "<article><div class=article-header><h1>Title line</h1></div>{}</article>",
+])
+def test_wrappers_do_not_hide_the_article(page):
+    want = "\n".join((["Title line"] if "Title line" in page else []) + PARAGRAPHS)
+    assert html.main_text(page.format("".join(f"<p>{p}</p>" for p in PARAGRAPHS))) == want
+
+
+def test_the_cut_beats_the_choice_by_block():
+    """Without an article element a short block looks like boilerplate, but for its neighbours."""
+    page = f"<div class=x><p>{PARAGRAPHS[0]}</p><div>And with</div><p>{PARAGRAPHS[2]}</p></div><ul><li><a href=/a>Imprint</a><li><a href=/b>Contact us</a></ul>"
+    blocks, article = html.parse(page)
+    html.surroundings(blocks, article)
+    alone = [t for (t, *_), (a, b) in zip(blocks, html.costs(blocks, html.PRIOR)) if a > b]
+    assert alone == [PARAGRAPHS[0], PARAGRAPHS[2]] and html.main_text(page) == "\n".join([PARAGRAPHS[0], "And with", PARAGRAPHS[2]])
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    for page in ("<article>" + "<p>Some words of text.<b>" * 100000 + "</article><footer>x</footer>", "<div>" * 3000 + "<p>Some words of text.</p>" + "<a href=x>link</a><li>" * 50000):
+        start = time.time()
+        html.main_text(page)
+        assert time.time() - start < 8
+
+
+def test_pages_against_a_plain_reading(spark):
+    """All pages of sf0.01: the text of their article element, read without a parser; adverts inside it do not occur there."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    import html as codec
+
+    for r in html.op2(pages).join(pages.select(F.col("page_id").alias("p"), "html"), F.col("page_id") == F.col("p")).collect():
+        inside = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        blocks = [" ".join(codec.unescape(re.sub("<[^>]*>", "", re.sub("<br>", " ", b))).split()) for b in re.split("</?(?:p|h1|div|ul|li)[^>]*>", inside)]
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "plain"), (3, "u", "plain"), (None, None, "<p>a<p>b"), (4, "u", "</div></p><article><p>One &amp; two</article>"), (5, "u", "<nav>x</nav>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("main_text", F.lit("clash"))
+    got = [tuple(x) for x in html.extract(frame).select("page_id", "main_text", "n_chars").collect()]
+    assert len(got) == 7 and {(1, "", 0), (2, "", 0), (4, "One & two", 9), (5, "", 0)} <= set(got) and len({x for x in got if x[0] == 3}) == 1
+
+
 def test_top_k_matches_brute_force(spark):
     r = np.random.default_rng(1)
     v = r.normal(0, 1, (120, 8)).astype(np.float32)
@@ -154,6 +207,15 @@ def test_sum_of_squares_identity():
     assert m.margin(idx, val)[0] == pytest.approx(m.w[idx] @ val + pairs)
 
 
+def test_quality_of_held_out_documents(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    text_ids = quality.op6(d.withColumn("doc_id", F.concat(F.lit("doc "), "doc_id")), lab.withColumn("doc_id", F.concat(F.lit("doc "), "doc_id")))
+    for got, truth in ((quality.op6(d, lab), lab), (text_ids, lab.withColumn("doc_id", F.concat(F.lit("doc "), "doc_id")))):
+        rows = got.join(truth, "doc_id").filter("held_out and quality is not null").collect()
+        assert sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows) > 30
+        assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+
+
 def test_repeated_spans_leave_the_first(spark):
     p = "".join(f"The repeated sentence number {i} has some words. " for i in range(9))
     rows = [(1, "Alpha starts here. " + p + "Alpha ends.", "en", "a", 0), (2, "Beta is another. " + p + "Beta ends.", "en", "a", 0), (3, "Clean text stays as it is. It is fine.", "en", "a", 0)]
@@ -267,6 +329,19 @@ def test_license_places(spark):
     assert got[0].base_labels == "apache-2,cc-by-nc,mit" and got[2].labels == "" and got[3].n_words == 0
 
 
+def test_license_spans_keep_to_a_band(spark):
+    """A notice with two words put in is found; the same words with long gaps are not; places may overlap and texts be very long."""
+    notice = next(iter(license.TEMPLATES)).split()
+    near = " ".join([*notice[:9], "please", "note", *notice[9:]])
+    far = " ".join(w + (" filler" * 30 if i % 6 == 5 else "") for i, w in enumerate(notice))
+    long = "word " * 200000 + "under the mit license under the mit license"
+    got = {r.doc_id: r for r in license.op9(docs(spark, [(1, near, None, None, 0), (2, far, None, None, 0), (3, long, None, None, 0), (4, "cc by nc by nc cc by nc", None, None, 0)])).collect()}
+    assert got[1].labels == "mit" and got[1].base_labels == "" and got[1].score >= license.COVER
+    assert got[2].labels == "" and got[2].score < license.COVER
+    assert (got[3].n_words, got[3].n_base, got[3].first_word, got[3].last_word) == (200008, 2, 200000, 200004)
+    assert (got[4].n_base, got[4].labels) == (2, "cc-by-nc")
+
+
 def test_benchmark_copies_are_found(spark):
     item = "What is the colour of the sky over the old harbour at noon in summer? It is a very deep blue."
     rows = [(1, "word " * 300 + item + " other" * 50, None, None, 0), (2, "the colour of the sky " * 20, None, None, 0)]
@@ -291,6 +366,28 @@ def test_language_held_out(spark):
     assert [r.lang_pred for r in got if r.doc_id == 90] == ["und"]
 
 
+def test_bitmasks_hold_many_languages(spark):
+    """More languages than a machine word has bits; ties go to the language that sorts first; null and wordless texts have none."""
+    r = np.random.default_rng(6)
+    words = {f"l{k:03d}": ["".join(r.choice(list("abcdefghijklmnop"), 6)) for _ in range(12)] for k in range(140)}
+    rows = [(1000 * j + i, " ".join(r.choice(w, 30)), lang, None, 0) for j, (lang, w) in enumerate(words.items()) for i in range(5)]
+    tie = [(k, "zzzz yyyy", lang, None, 0) for k, lang in ((900001, "t2"), (900002, "t1"), (900003, "t2"), (900006, "t1"))]
+    odd = [(900010, "zzzz yyyy", None, None, 0), (900011, None, "l001", None, 0), (900012, "", None, None, 0), (900013, "12 34", "l001", None, 0), (None, rows[0][1], None, None, 0)]
+    got = [tuple(x) for x in langid.op3(docs(spark, rows + tie + odd)).collect()]
+    pred = {x[0]: x[2] for x in got}
+    assert len(got) == len(rows + tie + odd) and all(pred[d] == lang for d, _, lang, *_ in rows)
+    assert pred[900010] in ("t1", "t2") and pred[None] == "l000" and [pred[k] for k in (900011, 900012, 900013)] == ["und"] * 3
+    with_both = [x for x in tie if not spark.sql(f"select crc32('{x[0]}') % 5 = 0").first()[0]]
+    if {x[2] for x in with_both} == {"t1", "t2"}:
+        assert pred[900010] == "t1"
+
+
+def test_language_of_held_out_documents(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.op3(known).join(known.select(F.col("doc_id").alias("d"), "lang", "text"), F.col("doc_id") == F.col("d")).filter("held_out and lang is not null").filter(F.col("text").rlike("\\p{L}")).collect()
+    assert len(got) > 100 and sum(r.lang_pred == r.lang for r in got) >= 0.98 * len(got)
+
+
 def test_language_stage_rejects_by_coverage(spark):
     known = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     clean = {r.doc_id for r in known.filter("lang is not null").collect() if r.text and any(map(str.isalpha, r.text))}
