@@ -11,7 +11,7 @@ from .common import SPACE_WORD, durable
 
 WEIGHTS, SHARE, MAX_REPEAT = (3, 1, 2), 1.5, 2.0
 #: A level splits a bucket in 2**BITS; LEVELS of them tell the hashes of 60 bits apart.
-BITS, LEVELS = 15, 4
+BITS, LEVELS = 12, 5
 #: Most sources (one row of a few numbers each) of a broadcast table; more are joined by a shuffle.
 BROADCAST = 100_000
 _BEFORE = (Window.unboundedPreceding, -1)
