@@ -16,12 +16,12 @@ from .common import durable, ship
 
 #: Words of the items of one index (about 100 bytes each in memory), items of a block, and the retrieval threshold as a share of an
 #: item's own score. INDEX and BLOCK bound memory and work, never the result.
-INDEX, BLOCK, RETRIEVE = 1 << 20, 4, 0.5
+INDEX, BLOCK, RETRIEVE = 1 << 20, 2, 0.5
 #: A hit shares this much of an item's shingles of five words.
 SHINGLE, SIMILARITY = 5, 0.8
 K1, B = 1.2, 0.75
 #: Starts of passages that one query of the index covers.
-STRIDE = 128
+STRIDE = 256
 EPS = 1e-9
 WORD = re.compile(r"[^\W_]+")
 
@@ -93,9 +93,11 @@ class Index:
             return []
         at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         bound = np.bincount(self.block[at], self.most[at], self.blocks)
-        live = np.flatnonzero(bound >= RETRIEVE - EPS).tolist()
-        if not live:
+        hot = bound >= RETRIEVE - EPS
+        if not hot.any():
             return []
+        live = np.flatnonzero(hot).tolist()
+        codes = codes[np.bincount(np.repeat(np.arange(len(n)), n), hot[self.block[at]]) > 0]  # the others have no postings in blocks that may hold a hit
         lists = [(self.ids[c], self.weights[c], self.top[c]) for c in codes.tolist()]
         pos, out = [0] * len(lists), []
 
@@ -147,7 +149,8 @@ class Shard:
         index is queried with stretches that hold all passages which begin in them: what it misses no passage can reach.
         """
         w = tokens(text)
-        code = np.fromiter((self.vocab.get(t, -1) for t in w), dtype=np.int64, count=len(w))
+        get = self.vocab.get
+        code = np.array([get(t, -1) for t in w], dtype=np.int64)
         found: dict = {}
         for index in self.tiers if (code >= 0).any() else ():
             for a in range(0, len(w), index.stride):
