@@ -1,6 +1,6 @@
 """Design rules over records: first-match rules on faces, and use suggestions on fragments, compiled to columns.
 
-Rules are data (see plans.factors, or a JSON file of the same form); every function is one projection without a shuffle.
+Rules are data: a dict read from JSON (`sources.config.read_rules`). Every function is one projection without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardlake.operators import rules as compiled
-from shardlake.operators.query import own_labels, usable_area
+from shardlake.operators.query import own_labels, usable_area, without_surface
 
 
 def _labels(value) -> list[str]:
@@ -54,16 +54,88 @@ def face_test(face: Column, rule: dict, *, exact_label: bool = False, fine: Colu
     return _both(tests)
 
 
-def outcome(face: Column, rules: list[dict], key: str, name: str, **how) -> Column:
-    """(value, rule) of the first rule that holds for a face; rule reads `name#index` and is null where none holds."""
-    tests = [(face_test(face, r, **how), r[key]) for r in rules]
-    value, index = compiled.first_match(tests)
-    rule = F.when(index <= len(rules), F.concat(F.lit(f"{name}#"), index.cast("string")))
-    return F.struct(value.alias("value"), rule.alias("rule"))
+#: Bounds whose measured value a trace states, in the order of the trace, with the value's name and format.
+_TRACED = (
+    ("min_area_m2", "area", "area %.3f m2 >= {}"),
+    ("max_fit_rms_mm", "rms", "RMS %.2f mm <= {}"),
+    ("min_fine_curvature_rad", "fine", "fine curvature %.3f rad >= {}"),
+    ("max_mass_kg", "mass", "mass %.1f kg <= {}"),
+    ("if_scan_reliable", None, "face scan_reliable = {}"),
+    ("if_assignment", None, "assignment = {}"),
+)
+
+
+def trace(name: str, index: int, rule: dict, values: dict[str, Column], label: Column | None = None) -> tuple[Column, Column, Column]:
+    """(rule, note, reason) of a rule that holds: the bounds it tested with the measured values, then the labels if it asked for one.
+
+    A bound whose value is null is stated as it is; a rule that tested nothing says so. Halves round up in decimals.
+    """
+    parts = []
+    for key, value, form in _TRACED:
+        if rule.get(key) is not None:
+            said = F.lit(form.format(rule[key]).replace("%%", "%"))
+            if value in values:
+                said = F.when(values[value].isNull(), F.lit(f"{key} = {rule[key]}")).otherwise(F.format_string(form.format(rule[key]), values[value]))
+            elif value:
+                said = F.lit(f"{key} = {rule[key]}")
+            parts.append(said)
+    if "if_label" in rule and label is not None:
+        parts.append(F.concat(F.lit("feature "), label))
+    text = F.concat_ws("; ", *parts) if parts else F.lit("")
+    return F.lit(f"{name}#{index}"), F.lit(rule.get("note", "")), F.coalesce(F.nullif(text, F.lit("")), F.lit("default rule, no condition tested"))
+
+
+def _traced(tests: list[tuple[Column, str, tuple[Column, Column, Column]]]) -> Column:
+    """(value, rule, note, reason, data_status) of the first test that holds."""
+    value, index = compiled.first_match([(t, v) for t, v, _ in tests])
+    pick = lambda k, default: F.element_at(F.array(*[x[k] for *_, x in tests], F.lit(default).cast("string")), index)
+    return F.struct(value.alias("value"), pick(0, None).alias("rule"), pick(1, "").alias("note"), pick(2, "no rule matched").alias("reason"), F.lit(None).cast("string").alias("data_status"))
+
+
+def outcome(face: Column, rules: list[dict], key: str, name: str, exact_label: bool = False) -> Column:
+    """(value, rule, note, reason) of the first rule that holds for a face; rule reads `name#index` and is null where none holds."""
+    labels = face["surface_label"] if exact_label else F.nullif(F.array_join(F.array_sort(own_labels(face)), ", "), F.lit(""))
+    values = {"area": usable_area(face), "rms": face["fit_rms_mm"]}
+    return _traced([(face_test(face, r, exact_label=exact_label), r[key], trace(name, i, r, values, labels)) for i, r in enumerate(rules, 1)])
+
+
+def handling(factor: dict) -> Column:
+    """(value, rule, note, reason): the band of the mass, or the dimension override as rule 0; without a mass null."""
+    mass, longest, most = F.col("bounding.mass_kg_est"), F.array_max("bounding.obb_dims_mm"), factor["max_manual_dim_mm"]
+    tests = [(F.coalesce(longest > most, F.lit(False)), factor["rules"][-1]["class"], (F.lit("handling_class#0"), F.lit(factor.get("max_dim_note", "")), F.format_string(f"longest dimension %.0f mm exceeds {most} mm", F.bround(longest))))]
+    for i, r in enumerate(factor["rules"], 1):
+        top = r["max_mass_kg"]
+        rule, note, reason = trace("handling_class", i, r, {"mass": mass})
+        tests.append((F.lit(True) if top is None else mass <= top, r["class"], (rule, note, F.format_string("estimated mass %.1f kg, above every band", mass) if top is None else reason)))
+    none = F.struct(*[F.lit(x).cast("string").alias(n) for n, x in (("value", None), ("rule", None), ("note", ""), ("reason", "mass not available"), ("data_status", None))])
+    return F.when(mass.isNull(), none).otherwise(_traced(tests))
+
+
+def _labelled(name: str):
+    return lambda anomaly: anomaly["label"] == name
+
+
+def _shows(name: str):
+    return lambda f: F.coalesce(f["surface_label"] == name, F.lit(False)) | F.coalesce(F.exists(f["anomalies"], _labelled(name)), F.lit(False))
+
+
+def finishing(face: Column, rules: list[dict], fine: Column) -> Column:
+    """(value, rule): the first treatment rule that holds for a face; labels count as anomalies too, and the rule's note stands for the rule."""
+    tests = []
+    for r in rules:
+        rest = {k: v for k, v in r.items() if k not in ("if_anomaly", "if_assignment")}
+        t = [face_test(face, rest, fine=fine)]
+        if "if_anomaly" in r:
+            t.append(F.coalesce(F.exists(face["anomalies"], _labelled(r["if_anomaly"])), F.lit(False)) | F.array_contains(own_labels(face), r["if_anomaly"]))
+        if "if_assignment" in r:
+            t.append(F.coalesce(face["procedural"]["design_assignment"]["value"] == r["if_assignment"], F.lit(False)))
+        tests.append((_both(t), r["requirement"], (F.lit(r.get("note")), F.lit(None).cast("string"), F.lit(None).cast("string"))))
+    out = _traced(tests)
+    return F.struct(out["value"].alias("value"), out["rule"].alias("rule"))
 
 
 def fragment_test(rule: dict) -> Column:
-    """Bounds on mass, thickness, aspect, curvature and convexity, and a height band that any dimension may meet; nulls fail."""
+    """Bounds on mass, thickness, aspect, curvature and convexity, and a height band that any dimension may meet; nulls fail, unknown keys count for nothing."""
     thick, longest = F.array_min("bounding.obb_dims_mm"), F.array_max("bounding.obb_dims_mm")
     value = {
         "mass_kg": F.col("bounding.mass_kg_est"), "thickness_mm": thick, "longest_mm": longest, "convexity": F.col("bounding.convexity"),
@@ -77,8 +149,6 @@ def fragment_test(rule: dict) -> Column:
             tests.append(F.exists("bounding.obb_dims_mm", lambda d: d.between(low, high)))
         elif side in ("min", "max") and field in value:
             tests.append(value[field] >= bound if side == "min" else value[field] <= bound)
-        else:
-            raise ValueError(f"unknown bound {key}")
     return _both(tests)
 
 
@@ -117,42 +187,59 @@ def uses(rules: list[dict]) -> Column:
             ok &= (F.size(hit) > 0) | (F.size(near) > 0)
         if never:
             ok &= F.size(_matching_faces(never)) == 0
-        one = F.struct(F.lit(r["id"]).alias("id"), F.lit(r.get("label")).alias("label"), hit.alias("faces"), F.when(F.size(near) > 0, near).alias("regions"), F.lit(r.get("note")).alias("note"))
+        one = F.struct(F.lit(r["id"]).alias("id"), F.lit(r.get("label", r["id"])).alias("label"), hit.alias("faces"), F.when(F.size(near) > 0, near).alias("regions"), F.lit(r.get("note", "")).alias("note"), F.lit(r.get("caveat")).cast("string").alias("caveat"))
         out.append(F.when(ok, one))
     return F.filter(F.array(*out), lambda u: u.isNotNull())
 
 
-def derive(records: DataFrame, factors: dict) -> DataFrame:
-    """Derive all rules anew: handling class, uses, and connection and assignment of every face. Other fields stay as they are."""
-    types = records.schema["procedural"].dataType
-    face_type = records.schema["planarity"].dataType.elementType["procedural"].dataType
-    sides = F.transform("planarity", lambda f: f.withField("procedural", F.struct(
-        outcome(f, factors["connection_strategy"]["rules"], "strategy", "connection_strategy", exact_label=True).alias("connection_strategy"),
-        outcome(f, factors["design_assignment"]["rules"], "assignment", "design_assignment").alias("design_assignment"),
-    )))
-    sides = F.transform(sides, lambda f: f.withField("procedural", _fit(f["procedural"], face_type)))
-    h = factors["handling_class"]
-    bands = [(r["max_mass_kg"], r["class"]) for r in h["rules"]]
-    mass, longest = F.col("bounding.mass_kg_est"), F.array_max("bounding.obb_dims_mm")
-    index = F.when(longest > h["max_manual_dim_mm"], 0).otherwise(compiled.first_match([(mass.isNotNull() if top is None else mass <= top, "") for top, _ in bands])[1])
-    handling = F.struct(compiled.handling_class(mass, longest, bands, h["max_manual_dim_mm"], bands[-1][1]).alias("value"), F.when(mass.isNotNull(), F.concat(F.lit("handling_class#"), index.cast("string"))).alias("rule"))
-    whole = F.struct(handling.alias("handling_class"), uses(factors["use_suggestions"]["rules"]).alias("use_suggestions"))
-    return records.withColumn("planarity", sides).withColumn("procedural", _fit(whole, types))
+def derive(records: DataFrame, factors: dict, withheld: str = "not published", publish: bool = False) -> DataFrame:
+    """Derive all outcomes anew, with rule, note and reason: of every face and of the record. Fields that no rule makes stay as they are.
+
+    Treatment and drill zone are withheld (null, status `withheld`, the given reason) unless publish is set.
+    """
+    kind = records.schema["procedural"].dataType
+    face_kind = records.schema["planarity"].dataType.elementType["procedural"].dataType
+    closed = F.struct(*[F.lit(x).cast("string").alias(n) for n, x in (("value", None), ("rule", None), ("note", None), ("reason", withheld), ("data_status", "withheld"))])
+
+    def put(block: Column, fields: dict[str, tuple], to) -> Column:
+        """The block with the given fields, in the type `to`; the others as they were."""
+        said = {f.name: f.dataType for f in to.fields}
+        return F.struct(*[_as(fields[n][0], t, *fields[n][1:]).alias(n) if n in fields else block[n].alias(n) for n, t in said.items()])
+
+    def side(f: Column) -> Column:
+        done = {
+            "connection_strategy": (outcome(f, factors["connection_strategy"]["rules"], "strategy", "connection_strategy", exact_label=True), _OUTCOME),
+            "design_assignment": (outcome(f, factors["design_assignment"]["rules"], "assignment", "design_assignment"), _OUTCOME),
+            "finishing_requirement": (closed, _OUTCOME), "data_status": (F.lit("proposed"),),
+        }
+        return f.withField("procedural", put(f["procedural"], done, face_kind))
+
+    faces = F.transform("planarity", side)
+    if publish:
+        rules = (factors.get("finishing_requirement") or {}).get("rules", [])
+        faces = F.transform(faces, lambda f: f.withField("procedural", put(f["procedural"], {"finishing_requirement": (finishing(f, rules, F.col("curvature.fine_mm.mean_rad")), _OUTCOME[:2])}, face_kind)))
+    whole = {
+        "handling_class": (handling(factors["handling_class"]), _OUTCOME), "use_suggestions": (uses(factors["use_suggestions"]["rules"]),),
+        "drill_zone": (drill_zone(factors["drill_zone"]), _DRILL) if publish else (closed, _OUTCOME), "data_status": (F.lit("proposed"),),
+        "faces_evaluated": (F.coalesce(F.nullif(F.size("planarity"), F.lit(-1)), F.lit(0)),), "basis": (F.lit(factors.get("_status")),),
+    }
+    return records.withColumn("planarity", faces).withColumn("procedural", put(F.col("procedural"), whole, kind))
+
 
+_OUTCOME = ("value", "rule", "note", "reason", "data_status")
+_DRILL = ("value", "rule", "clear_core_mm_est", "cover_mm_assumed", "entry_faces")
 
-def _fit(value: Column, kind) -> Column:
-    """Bring a struct to a struct type; fields it does not have are null."""
-    has = {"handling_class", "use_suggestions", "connection_strategy", "design_assignment"}
 
-    def field(f):
-        if f.name not in has:
-            return F.lit(None).cast(f.dataType).alias(f.name)
-        inner = value[f.name]
-        if f.name != "use_suggestions":
-            inner = F.struct(*[(inner[x.name] if x.name in ("value", "rule") else F.lit(None).cast(x.dataType)).alias(x.name) for x in f.dataType.fields])
-        return inner.cast(f.dataType).alias(f.name)
+def _as(value: Column, kind, names: tuple = ()) -> Column:
+    """A value in a type; a struct by the names it has, other fields null."""
+    if not names:
+        return value.cast(kind)
+    return F.struct(*[(value[f.name].cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields])
 
-    return F.struct(*[field(f) for f in kind.fields])
+
+def geometry_only(records: DataFrame, factors: dict, strip_adjacent: bool = True) -> DataFrame:
+    """The ablation: what was seen on surfaces is withheld, and all outcomes are derived again from geometry alone."""
+    return derive(without_surface(records, strip_adjacent), factors)
 
 
 def use_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -195,16 +282,22 @@ def edge_faces(tolerance_deg: float = 35.0) -> Column:
 
 
 def drill_zone(factor: dict) -> Column:
-    """(value, rule): the first drill rule; it reads surface labels and anomalies only, and the core left between two covers and bars."""
-    core = F.array_min("bounding.obb_dims_mm") - 2 * (factor["cover_mm_assumed"] + factor["bar_dia_mm_assumed"])
+    """(value, rule, clear_core_mm_est, cover_mm_assumed, entry_faces): the first drill rule, its note standing for the rule.
+
+    It reads surface labels and anomalies only, and the core left between two covers and bars; entry faces (see edge_faces) are
+    given where holes go into an edge.
+    """
+    cover = factor.get("cover_mm_assumed", 20)
+    core = F.array_min("bounding.obb_dims_mm") - 2 * (cover + factor.get("bar_dia_mm_assumed", 12))
     tests = []
     for r in factor["rules"]:
         t = []
         if r.get("if_any_face_label"):
             wanted = r["if_any_face_label"]
-            t.append(F.exists("planarity", lambda f: F.coalesce(f["surface_label"] == wanted, F.lit(False)) | F.coalesce(F.exists(f["anomalies"], lambda a: a["label"] == wanted), F.lit(False))))
+            t.append(F.exists("planarity", _shows(wanted)))
         if r.get("min_clear_core_mm") is not None:
             t.append(core >= r["min_clear_core_mm"])
-        tests.append((_both(t), r["zone"]))
-    value, index = compiled.first_match(tests)
-    return F.struct(value.alias("value"), F.concat(F.lit("drill_zone#"), index.cast("string")).alias("rule"))
+        tests.append((_both(t), r["zone"], (F.lit(r.get("note")), F.lit(None).cast("string"), F.lit(None).cast("string"))))
+    out = _traced(tests)
+    into = F.when(out["value"] == "edge_mid_depth", edge_faces(factor.get("edge_normal_tol_deg", 35)))
+    return F.struct(out["value"].alias("value"), out["rule"].alias("rule"), F.round(core, 1).alias("clear_core_mm_est"), F.lit(float(cover)).alias("cover_mm_assumed"), into.alias("entry_faces"))

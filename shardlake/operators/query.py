@@ -23,7 +23,10 @@ def own_labels(face: Column) -> Column:
 
 
 def without_surface(records: DataFrame, strip_adjacent: bool = True) -> DataFrame:
-    """The ablation: descriptors seen on surfaces are withheld; adjacency too, unless told otherwise."""
+    """Records without what was seen on surfaces: vision and the faces' labels, and adjacency too, unless told otherwise.
+
+    Outcomes derived from it remain: `design.geometry_only` derives them again.
+    """
     gone = ["surface_label", "features", "anomalies", *(["adjacent_features"] if strip_adjacent else [])]
     types = {"surface_label": "string", "features": "array<string>", "adjacent_features": "array<string>", "anomalies": "array<struct<label:string>>"}
 
@@ -32,7 +35,8 @@ def without_surface(records: DataFrame, strip_adjacent: bool = True) -> DataFram
             face = face.withField(name, F.lit(None).cast(types[name]))
         return face
 
-    return records.withColumn("planarity", F.transform("planarity", bare))
+    out = records.withColumn("planarity", F.transform("planarity", bare))
+    return out.withColumn("vision", F.lit(None).cast(records.schema["vision"].dataType)) if "vision" in records.columns else out
 
 
 def select(records: DataFrame, *, use=None, label=None, anomaly=None, min_face_area=None, max_face_rms=None, reliable_only=False,
@@ -114,6 +118,12 @@ def list_uses(records: DataFrame) -> DataFrame:
     return records.select("fragment_id", F.coalesce(F.nullif(labels, F.lit("")), F.lit("(none)")).alias("uses")).orderBy("fragment_id")
 
 
+def use_options(records: DataFrame) -> DataFrame:
+    """use, label and the number of records that have it, commonest first, then by use."""
+    u = records.select("fragment_id", F.explode("procedural.use_suggestions").alias("u")).select("fragment_id", F.col("u.id").alias("use"), F.col("u.label").alias("label"))
+    return u.groupBy("use").agg(F.min("label").alias("label"), F.count_distinct("fragment_id").alias("records")).orderBy(F.desc("records"), "use")
+
+
 def require_use(records: DataFrame, use: str) -> None:
     """Raise UnsupportedQuery if no record knows the use."""
     if records.filter(F.exists("procedural.use_suggestions", lambda u: u["id"] == use)).isEmpty():

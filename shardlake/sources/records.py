@@ -15,14 +15,16 @@ bounding STRUCT<obb_dims_mm: ARRAY<DOUBLE>, obb_axes_xyz: ARRAY<ARRAY<DOUBLE>>,
 planarity ARRAY<STRUCT<normal_xyz: ARRAY<DOUBLE>, area_m2_est: DOUBLE, contiguous_area_m2: DOUBLE, n_patches: INT, fit_rms_mm: DOUBLE,
   angle_to_unscanned_deg: DOUBLE, scan_reliable: BOOLEAN, surface_label: STRING, features: ARRAY<STRING>, adjacent_features: ARRAY<STRING>,
   anomalies: ARRAY<STRUCT<label: STRING>>,
-  procedural: STRUCT<connection_strategy: {_OUTCOME}, design_assignment: {_OUTCOME}, finishing_requirement: {_OUTCOME}>>>,
+  procedural: STRUCT<connection_strategy: {_OUTCOME}, design_assignment: {_OUTCOME}, finishing_requirement: {_OUTCOME}, data_status: STRING>>>,
 curvature STRUCT<fine_mm: {_CURVE}, coarse_mm: {_CURVE}>,
 vision STRUCT<labels_present: ARRAY<STRING>, label_coverage: MAP<STRING, INT>, regions: ARRAY<STRUCT<region_id: INT, kind: STRING,
   plane_index: INT, area_frac: DOUBLE, area_m2: DOUBLE, contiguous_area_m2: DOUBLE, label: STRING, features: ARRAY<STRUCT<id: STRING, votes: INT>>,
   uv_coherence: DOUBLE, uv_fill: DOUBLE, smear_frac: DOUBLE, skipped: STRING>>>,
 scan_coverage STRUCT<has_unscanned_face: BOOLEAN, unscanned_avg_normal: ARRAY<DOUBLE>>,
-procedural STRUCT<handling_class: {_OUTCOME}, drill_zone: {_OUTCOME},
-  use_suggestions: ARRAY<STRUCT<id: STRING, label: STRING, faces: ARRAY<INT>, regions: ARRAY<INT>, note: STRING>>>
+procedural STRUCT<handling_class: {_OUTCOME}, drill_zone: STRUCT<value: STRING, rule: STRING, reason: STRING, data_status: STRING, clear_core_mm_est: DOUBLE,
+    cover_mm_assumed: DOUBLE, entry_faces: ARRAY<INT>>,
+  use_suggestions: ARRAY<STRUCT<id: STRING, label: STRING, faces: ARRAY<INT>, regions: ARRAY<INT>, note: STRING, caveat: STRING>>,
+  faces_evaluated: INT, data_status: STRING, basis: STRING, note: STRING>
 """
 
 
