@@ -133,7 +133,7 @@ def link(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rows = fps.select("fp", F.explode(F.array(*probes)).alias("s")).select("fp", "s.mask", "s.key", "s.w")
     bucket = lambda m, k: (F.col("mask") == F.col(m)) & (F.col("key") == F.col(k))
     parts = fps.select(F.col("fp").alias("v"), F.col("fp").alias("c")).limit(0)
-    grow = lambda edges: durable(components(parts.select(F.col("c").alias("a"), F.col("v").alias("b")).union(edges)))
+    grow = lambda edges: components(parts.select(F.col("c").alias("a"), F.col("v").alias("b")).union(edges))
     labelled = lambda df: df.join(parts, F.col("fp") == F.col("v"), "left").select(*df.columns, F.coalesce("c", "fp").alias("c"))
     for level in range(LEVELS + 1):
         # A pair needs one member that is probed as it is (w = 0); a fingerprint is in a bucket once.
