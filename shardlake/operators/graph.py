@@ -3,27 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a table in the shared checkpoint folder, whose size is that of its files (a checkpoint's estimate multiplies with every join)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardlake-"))
-    return df.checkpoint(eager=True)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shardlake-"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _drop(*tables: DataFrame) -> None:
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b), taken as undirected; labels spread and jump."""
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    lab = _cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
-    while True:
-        near = both.join(lab, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
-        new = lab.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("n"), F.col("component").alias("old"))
-        jump = new.select(F.col("node").alias("j"), F.col("n").alias("jn"))
-        new = _cut(new.join(jump, F.col("n") == F.col("j")).select("node", F.least("n", "jn").alias("component"), "old"))
-        lab = new.select("node", "component")
-        if new.filter("component <> old").isEmpty():
-            return lab
+    """(node, component): the smallest node reachable over edges (a, b), taken as undirected, by contraction.
+
+    In a round every node hooks onto its smallest neighbour if that is smaller; edges and labels follow, and edges inside a
+    part vanish. Hubs and large parts are hot keys of joins only, whose sides both read checkpoints: adaptive execution splits them.
+    Null ends take no part; a loop makes a component of its own.
+    """
+    ordered = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = _cut(ordered(edges.filter("a is not null and b is not null")))
+    found = _cut(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    open_ = rest.filter("a <> b")
+    while not open_.isEmpty():
+        one = _cut(open_.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("to")))
+        again = one.select(F.col("from").alias("f2"), F.col("to").alias("t2"))
+        up = _cut(one.join(again, F.col("to") == F.col("f2"), "left").select("from", F.coalesce("t2", "to").alias("to")))
+        named = _cut(found.join(up, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")))
+        moved = open_.join(up, F.col("a") == F.col("from")).select(F.col("to").alias("a"), "b")
+        moved = moved.join(up.select(F.col("from").alias("f2"), F.col("to").alias("t2")), F.col("b") == F.col("f2"), "left").select("a", F.coalesce("t2", "b").alias("b"))
+        left = _cut(ordered(moved.filter("a <> b")))
+        _drop(one, up, found, rest)
+        found, rest = named, left
+        open_ = rest
+    _drop(rest)
+    return found

@@ -21,34 +21,6 @@ def query(sql: str | None):
     return add
 
 
-@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey
-    AND l_returnflag = 'R' AND l_quantity >= 40) AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""")
-def select_conjunction_topk(t):
-    faces = t("lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 40))
-    hits = t("orders").filter("o_totalprice >= 1000").join(faces, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
-    return hits.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice")
-
-
-@query("""SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')
-    AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')""")
-def independent_any_faces(t):
-    both = t("lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.bool_or(F.col("l_linestatus") == "F").alias("f")).filter("r and f")
-    return t("orders").join(both, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
-
-
-@query("""SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ', ' ORDER BY l_linenumber) AS faces FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_orderkey""")
-def face_index_list(t):
-    lists = t("lineitem").filter("l_returnflag = 'A'").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("i"))
-    return lists.select("l_orderkey", F.array_join(F.transform("i", lambda x: x.cast("string")), ", ").alias("faces"))
-
-
-@query("""WITH x AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS own, count(*) FILTER (l_linestatus = 'F') AS adj FROM lineitem GROUP BY l_orderkey)
-    SELECT l_orderkey, CASE WHEN own > 0 THEN own ELSE adj END AS hits, own > 0 AS is_own FROM x""")
-def own_then_fallback(t):
-    x = t("lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("own"), F.count_if(F.col("l_linestatus") == "F").alias("adj"))
-    return x.select("l_orderkey", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("adj")).alias("hits"), (F.col("own") > 0).alias("is_own"))
-
-
 @query("""SELECT CASE WHEN l_quantity >= 40 AND l_returnflag = 'R' THEN 'heavy_return' WHEN l_quantity >= 40 THEN 'heavy' WHEN l_discount >= 0.05 THEN 'discounted' ELSE 'plain' END AS outcome,
     CASE WHEN l_quantity >= 40 AND l_returnflag = 'R' THEN 1 WHEN l_quantity >= 40 THEN 2 WHEN l_discount >= 0.05 THEN 3 ELSE 4 END AS rule, count(*) AS n FROM lineitem GROUP BY ALL""")
 def first_match_rules(t):
@@ -57,25 +29,12 @@ def first_match_rules(t):
     return t("lineitem").groupBy(outcome.alias("outcome"), index.alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN NULL WHEN o_orderpriority = '1-URGENT' THEN 'excavator' WHEN o_totalprice <= 50000 THEN 'manual'
-    WHEN o_totalprice <= 150000 THEN 'two_person' ELSE 'excavator' END AS handling FROM orders""")
-def banded_override(t):
-    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", 801).otherwise(0)
-    bands = [(50000.0, "manual"), (150000.0, "two_person"), (None, "excavator")]
-    return t("orders").select("o_orderkey", rules.handling_class(F.col("o_totalprice"), urgent, bands, 800, "excavator").alias("handling"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, 'band#' || CASE WHEN l_quantity <= 10 THEN 1 WHEN l_quantity <= 25 THEN 2 ELSE 3 END || ': flag=' || l_returnflag || ', line=' || l_linenumber AS reason FROM lineitem""")
 def rule_trace_reason(t):
     _, index = rules.first_match([(F.col("l_quantity") <= 10, "a"), (F.col("l_quantity") <= 25, "b")], "c")
     return t("lineitem").select("l_orderkey", "l_linenumber", rules.reason("band", index, ("flag", F.col("l_returnflag")), ("line", F.col("l_linenumber"))).alias("reason"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
-def queue_antijoin(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 _RUNS = "WITH e AS (SELECT user_id, event_type, dayofyear(ts) % 3 AS run, event_id FROM events)"
 
 
@@ -91,13 +50,6 @@ def plurality_first_seen(t):
     return votes.plurality(t("events"), "user_id", "event_type", "event_id")
 
 
-@query(_RUNS + """, v AS (SELECT user_id, event_type, count(DISTINCT run) AS k FROM e GROUP BY 1, 2)
-    SELECT event_type, count(*) FILTER (k = 3) AS all3, count(*) FILTER (k = 2) AS two, count(*) FILTER (k = 1) AS one FROM v GROUP BY 1""")
-def agreement_histogram(t):
-    k = t("events").groupBy("user_id", "event_type").agg(F.countDistinct(F.dayofyear("ts") % 3).alias("k"))
-    return k.groupBy("event_type").agg(*[F.count_if(F.col("k") == n).alias(name) for n, name in ((3, "all3"), (2, "two"), (1, "one"))])
-
-
 @query("""WITH p AS (SELECT lang AS feature, quality = 1 AS a, n_chars >= 500 AS b FROM documents JOIN labels USING (doc_id)), c AS (SELECT feature, count(*) FILTER (a AND b) AS tp,
     count(*) FILTER (NOT a AND b) AS fp, count(*) FILTER (a AND NOT b) AS fn FROM p GROUP BY 1) SELECT feature, tp, fp, fn, tp / nullif(tp + fn, 0) AS recall, tp / nullif(tp + fp, 0) AS precision FROM c""")
 def set_precision_recall(t):
@@ -132,50 +84,18 @@ def roughness_bucket(t):
     return t("events").filter(v.isNotNull()).select("event_id", rules.first_match([(v < 25, "smooth"), (v < 45, "medium"), (v < 65, "rough")], "very_rough")[0].alias("bucket"))
 
 
-@query("""SELECT md5(text) AS signature, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
-def duplicate_signature(t):
-    return t("documents").filter("text is not null").groupBy(F.md5("text").alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
-
-
-@query("""SELECT l_suppkey, l_partkey, n / total AS share FROM (SELECT l_suppkey, l_partkey, n, sum(n) OVER (PARTITION BY l_suppkey) AS total FROM
-    (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE n / total >= 0.001 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_partkey) = 1""")
-def boundary_share_argmax(t):
-    n = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    best = n.groupBy("l_suppkey").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), "l_partkey")).alias("b"))
-    return best.select("l_suppkey", F.col("b.l_partkey"), (-F.col("b.m") / F.col("total")).alias("share")).filter("share >= 0.001")
-
-
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity = 1 AND l_returnflag = 'R'), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r(node, reach) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.reach = s.a) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
-def connected_components(t):
-    e = t("lineitem").filter("l_quantity = 1 and l_returnflag = 'R'").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
-    return graph.connected_components(e)
-
-
 @query(None)
-def connected_components_all(t):
+def connected_components(t):
     """Components over every lineitem edge; a recursive CTE is quadratic in them, so it has no SQL."""
     return graph.connected_components(t("lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
 
 
-@query("""SELECT p_partkey, p_type FROM part WHERE split_part(p_type, ' ', 1) NOT IN ('ECONOMY', 'STANDARD')""")
-def taxonomy_check(t):
-    return t("part").filter(~F.split("p_type", " ")[0].isin("ECONOMY", "STANDARD")).select("p_partkey", "p_type")
-
-
-@query("""WITH c AS (SELECT quality AS label, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1 ORDER BY n DESC, label LIMIT 1), x AS (SELECT l.quality = c.label AS hit FROM labels l, c WHERE l.quality IS NOT NULL)
-    SELECT count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp FROM x""")
-def null_model(t):
-    known = t("labels").filter("quality is not null").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
-    return known.agg(F.max("n").alias("tp"), (F.sum("n") - F.max("n")).alias("fp"))
-
-
 @query("""WITH i AS (SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL),
     t AS (SELECT doc_id, 'quality_' || quality AS label, 0 AS pos FROM i WHERE quality IS NOT NULL UNION ALL SELECT doc_id, 'toxic_' || toxic, 1 FROM i WHERE toxic IS NOT NULL),
     n AS (SELECT label, count(*) AS n, min(doc_id) AS first_doc, min(pos) AS pos FROM t GROUP BY 1), g AS (SELECT * FROM n ORDER BY n DESC, first_doc NULLS LAST, pos, label LIMIT 2),
     c AS (SELECT coalesce((SELECT sum(n) FROM g), 0)::BIGINT AS tp, (SELECT count(*) FROM g) * (SELECT count(*) FROM i) AS said, (SELECT count(*) FROM t) AS truth)
     SELECT tp, (said - tp)::BIGINT AS fp, (truth - tp)::BIGINT AS fn, CASE WHEN truth > 0 THEN tp / truth ELSE 0.0::DOUBLE END AS recall, CASE WHEN said > 0 THEN tp / said ELSE 0.0::DOUBLE END AS precision FROM c""")
-def null_model_top2(t):
+def null_model(t):
     """The two commonest labels, of equals the one of the smallest doc_id (quality before toxic), answered for every labelled row."""
     label = lambda c: F.concat(F.lit(f"{c}_"), F.col(c).cast("string"))
     items = t("labels").select("doc_id", F.array_compact(F.array(label("quality"), label("toxic"))).alias("truth")).filter(F.size("truth") > 0)

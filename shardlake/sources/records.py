@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OUTCOME = "STRUCT<value: STRING, rule: STRING, note: STRING, reason: STRING, data_status: STRING>"
@@ -43,17 +43,20 @@ def regions(records: DataFrame) -> DataFrame:
     return records.select("fragment_id", F.explode("vision.regions").alias("region")).select("fragment_id", "region.*")
 
 
+def label_set(cell: Column) -> Column:
+    """The labels of a cell, parted by any comma or semicolon, each once; empty for `none` alone, null if empty or said to be unusable."""
+    parts = F.transform(F.split(F.coalesce(cell, F.lit("")), "[,;\uFF0C\u3001]"), lambda x: F.trim(x))
+    labels = F.array_distinct(F.filter(parts, lambda x: x != ""))
+    return F.when((F.size(labels) > 0) & ~F.array_contains(labels, "unusable"), F.array_remove(labels, "none"))
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """tile, fragment, features of label sheets (CSV): cells parted by any comma or semicolon; `none` alone is the empty set.
 
     Rows whose cell is empty or says `unusable` are left out; repeated labels count once.
     """
     sheet = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    cell = F.transform(F.split(F.coalesce("true_features", F.lit("")), "[,;\uFF0C\u3001]"), lambda x: F.trim(x))
-    labels = F.array_distinct(F.filter(cell, lambda x: x != ""))
-    known = sheet.select("tile", "fragment", labels.alias("features"))
-    known = known.filter((F.size("features") > 0) & ~F.array_contains("features", "unusable"))
-    return known.withColumn("features", F.array_remove("features", "none"))
+    return sheet.select("tile", "fragment", label_set(F.col("true_features")).alias("features")).filter("features is not null")
 
 
 def read_votes(spark: SparkSession, path: str) -> DataFrame:

@@ -46,6 +46,29 @@ def test_rules(records):
     assert (one.design_assignment.value, two.design_assignment.value) == ("unassigned", "show_face")
 
 
+def test_traces_and_withheld_outcomes(records):
+    got = {r.fragment_id: r for r in design.derive(records, FACTORS, withheld="not safe").collect()}
+    one, two = (f.procedural for f in got["P1"].planarity)
+    assert (one.connection_strategy.reason, two.connection_strategy.reason) == ("area 0.300 m2 >= 0.1; RMS 0.00 mm <= 5.0", "default rule, no condition tested")
+    assert two.design_assignment.reason == "feature cast" and one.design_assignment.note == ""
+    assert (one.finishing_requirement.value, one.finishing_requirement.reason, one.finishing_requirement.data_status, one.data_status) == (None, "not safe", "withheld", "proposed")
+    assert [got[k].procedural.handling_class.reason for k in ("P1", "P2", "P3")] == ["mass 25.0 kg <= 25", "longest dimension 801 mm exceeds 800 mm", "mass not available"]
+    assert [got[k].procedural.faces_evaluated for k in ("P1", "P2", "P3")] == [2, 1, 0]
+    again = design.derive(design.derive(records, FACTORS, withheld="not safe"), FACTORS, withheld="not safe").collect()
+    assert {r.fragment_id: r for r in again} == got
+    rules = {**FACTORS, "drill_zone": {"rules": [{"zone": "any", "note": "n"}]}, "finishing_requirement": {"rules": [{"if_label": "cast", "if_anomaly": "cast", "if_assignment": "show_face", "requirement": "seal", "note": "why"}]}}
+    open_ = {r.fragment_id: r for r in design.derive(records, rules, publish=True).collect()}
+    assert [f.procedural.finishing_requirement.value for f in open_["P1"].planarity] == [None, "seal"] and open_["P3"].procedural.drill_zone.value == "any"
+
+
+def test_the_ablation_derives_anew(records):
+    whole = design.derive(records, FACTORS)
+    bare = {r.fragment_id: r for r in design.geometry_only(whole, FACTORS).collect()}
+    assert [[u.id for u in bare[k].procedural.use_suggestions] for k in ("P1", "P2")] == [["bench"], ["cut"]]
+    assert bare["P2"].vision is None and bare["P1"].planarity[1].surface_label is None
+    assert bare["P1"].planarity[1].procedural.design_assignment.value == "unassigned"
+
+
 def test_derived_records_answer_queries(records):
     d = design.derive(records, FACTORS)
     assert [(r.fragment_id, r.why) for r in query.select(d, use="bench", min_mass=1).collect()] == [("P1", "use bench via region 1; 25 kg")]
@@ -67,6 +90,9 @@ def test_unscanned_and_edges(records):
     assert records.filter("fragment_id = 'P1'").select(design.edge_faces()).first()[0] == [1]
     zone = {"cover_mm_assumed": 20, "bar_dia_mm_assumed": 12, "rules": [{"if_any_face_label": "rebar", "zone": "a"}, {"min_clear_core_mm": 60, "zone": "b"}, {"zone": "c"}]}
     assert [r[0].value for r in records.orderBy("fragment_id").select(design.drill_zone(zone)).collect()] == ["b", "c", "c"]
+    edge = {"cover_mm_assumed": 20, "bar_dia_mm_assumed": 12, "rules": [{"min_clear_core_mm": 300, "zone": "edge_mid_depth", "note": "into the edge"}]}
+    got = records.orderBy("fragment_id").select(design.drill_zone(edge).alias("z")).collect()
+    assert tuple(got[0].z) == ("edge_mid_depth", "into the edge", 336.0, 20.0, [1]) and got[1].z.value is None
 
 
 def test_sources_round_trip(spark, records, tmp_path):
