@@ -99,9 +99,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("d").isNull().alias("nil"), "d", "k", "i")
     firsts = durable(runs.groupBy(F.col("h").alias("fh"), F.col("g").alias("fg")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     share = F.col("n") * HOT > (firsts.agg(F.sum("n")).first()[0] or 0)
-    hot, same = F.broadcast(firsts.filter(share)), (F.col("h") == F.col("fh")) & (F.col("g") == F.col("fg"))
-    again = runs.join(hot, same).union(runs.join(hot, same, "left_anti").join(firsts.filter(~share), same))
-    again = again.filter(place != F.col("first"))
+    two = lambda df, p: df.select(F.col("fh").alias(f"{p}h"), F.col("fg").alias(f"{p}g"), F.col("first").alias(f"{p}_first"))
+    hot, rest = F.broadcast(two(firsts.filter(share), "b")), two(firsts.filter(~share), "c")
+    again = runs.join(hot, (F.col("h") == F.col("bh")) & (F.col("g") == F.col("bg")), "left")
+    # Places of hot runs have met their first one: they are dealt by place, not by run, and meet none in the second join.
+    deal = F.when(F.col("b_first").isNull(), F.col("h")).otherwise(F.xxhash64("d", "k", "i"))
+    again = again.select("d", "k", "i", "j", "g", deal.alias("_h"), F.coalesce(place != F.col("b_first"), F.lit(False)).alias("_hit"))
+    again = again.join(rest, (F.col("_h") == F.col("ch")) & (F.col("g") == F.col("cg")), "left").filter(F.col("_hit") | (place != F.col("c_first")))
     cover = again.groupBy(F.col("d").alias("_d"), F.col("k").alias("_k")).agg(F.collect_set(F.struct("i", "j")).alias("_cover"))
     whole = docs.withColumn("_key", key).join(cover, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_key", "_d", "_k")
 
