@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shardlake.operators import design, query as ask
+from shardlake.operators import design, views
+from shardlake.operators import query as ask
 from shardlake.plans.analytics import query
 from shardlake.sources.records import SCHEMA
 
@@ -27,7 +28,7 @@ RULES = {
 }
 
 
-def typed(kind, **fields: Column) -> Column:
+def typed(kind, /, **fields: Column) -> Column:
     """A struct of a type: the given fields, the others null."""
     return F.struct(*[(fields[f.name] if f.name in fields else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
 
@@ -172,3 +173,89 @@ def assignment_counts(t):
     a = F.transform("planarity", lambda f: f["procedural"]["design_assignment"]["value"])
     d = design.derive(records(t), RULES).filter(F.size("planarity") > 0)
     return d.select("fragment_id", F.size(a).cast("long").alias("faces"), F.size(F.array_distinct(a)).cast("long").alias("kinds"), F.size(F.filter(a, lambda x: x == "show_face")).cast("long").alias("shown"))
+
+
+# ---- regions of records: every line is a region too, of the plane kind on its own face, or off all faces
+
+_REGIONS = _BASE + """, r AS (SELECT printf('%012d', l_orderkey) AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {line}) - 1 AS i, l_tax > 0.03 AS plane, l_returnflag AS flag, l_linestatus AS status, l_quantity AS q, l_partkey % 11 = 0 AS brick, l_discount AS d, l_tax AS tax FROM lineitem),
+l AS (SELECT id, i, (i + 1) % count(*) OVER (PARTITION BY id) AS face, plane, flag FROM r)
+""".replace("{line}", ", ".join(LINE))
+
+
+def with_regions(t) -> DataFrame:
+    base = records(t)
+    kind = base.schema["vision"].dataType
+    region = kind["regions"].dataType.elementType
+    plane = F.col("l_tax") > 0.03
+    one = typed(region, kind=F.when(plane, "plane").otherwise("cluster"), plane_index=F.when(plane, 1), area_frac=F.col("l_quantity") / 100, smear_frac=F.when(F.col("l_discount") > 0.05, F.col("l_discount")),
+        features=F.when(F.col("l_quantity") > 10, F.array(F.struct(F.concat(F.lit("seen "), "l_returnflag").alias("id"), F.lit(3).alias("votes")))).otherwise(F.array().cast("array<struct<id:string,votes:int>>")), skipped=F.when(F.col("l_quantity") < 5, "sparse_uv"))
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(*LINE, one.alias("r")))), lambda x: x["r"])
+    numbered = F.transform(sorted_, lambda r, i: r.withField("region_id", i).withField("plane_index", F.when(r["plane_index"].isNotNull(), i)))
+    cover = F.map_from_entries(F.array(F.struct(F.lit("A"), F.count_if(F.col("l_returnflag") == "A").cast("int")), F.struct(F.lit("R"), F.count_if(F.col("l_returnflag") == "R").cast("int")), F.struct(F.lit("N"), F.count_if(F.col("l_returnflag") == "N").cast("int"))))
+    seen = t("lineitem").groupBy(F.format_string("%012d", "l_orderkey").alias("_id")).agg(numbered.alias("regions"), cover.alias("label_coverage"))
+    vision = F.when(F.col("_id").isNotNull(), typed(kind, regions=F.col("regions"), label_coverage=F.col("label_coverage")))
+    return base.join(seen, F.col("fragment_id") == F.col("_id"), "left").withColumn("vision", vision).select(*base.columns)
+
+
+@query(_BASE + """SELECT id AS fragment_id, i AS face, printf('%.3f', area) AS surface, abs(rms) AS rms, ['gravity_only', 'direct_bolt', 'bracket', 'gravity_only'][con] AS connection, ['buried', 'show_face', 'seat_face', 'unassigned'][asg] AS assignment FROM c JOIN g USING (id)""")
+def face_table(t):
+    f = views.face_table(design.derive(records(t), RULES))
+    return f.select("fragment_id", F.col("face").cast("long").alias("face"), "surface", F.abs("rms").alias("rms"), "connection", "assignment")
+
+
+@query(_REGIONS + """SELECT id AS fragment_id, i AS region_id, CASE WHEN plane THEN 'plane' ELSE 'cluster' END AS kind, round(q / 100 * 100, 1) AS area_pct, CASE WHEN q > 10 THEN 'seen ' || flag WHEN q < 5 THEN 'sparse_uv' ELSE '-' END AS text, CASE WHEN d > 0.05 THEN d ELSE 0 END AS masked FROM r JOIN g USING (id)""")
+def region_table(t):
+    return views.region_table(with_regions(t)).withColumn("region_id", F.col("region_id").cast("long"))
+
+
+@query(_REGIONS + "SELECT id AS fragment_id, i AS face, CASE WHEN plane AND q > 10 THEN 'seen ' || flag ELSE flag END AS text FROM r JOIN g USING (id)")
+def region_hover(t):
+    return views.hover(with_regions(t)).withColumn("face", F.col("face").cast("long"))
+
+
+@query(_REGIONS + "SELECT id AS fragment_id, flag AS label, (CASE flag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 999 END)::BIGINT AS place, count(*) / sum(count(*)) OVER (PARTITION BY id) AS share FROM r JOIN g USING (id) GROUP BY 1, 2")
+def coverage_bar(t):
+    return views.coverage_bar(with_regions(t), ["N", "A"])
+
+
+@query(_BASE + _USES + """, n AS (SELECT id, count(*) AS n FROM f GROUP BY 1), m AS (SELECT id, count(*) AS n FROM u GROUP BY 1) SELECT id AS fragment_id, mass, long::BIGINT || ' x 500 x ' || thin::BIGINT AS dims, coalesce(n.n, 0) AS faces,
+    CASE WHEN longest > 1400 OR mass > 9000 THEN 'excavator' WHEN mass <= 2500 THEN 'manual' ELSE 'two_person' END AS handling, coalesce(m.n, 0) AS uses FROM g LEFT JOIN n USING (id) LEFT JOIN m USING (id)""")
+def inventory(t):
+    return views.inventory(design.derive(records(t), RULES))
+
+
+@query(_REGIONS + """SELECT id AS fragment_id, i AS face, CASE WHEN plane THEN CASE WHEN q > 10 THEN 'seen ' || flag ELSE '' END ELSE status || CASE WHEN brick THEN ',brick' ELSE '' END END AS features FROM r JOIN g USING (id)""")
+def regions_to_faces(t):
+    f = views.write_back(with_regions(t)).select("fragment_id", F.posexplode("planarity").alias("i", "f"))
+    return f.select("fragment_id", F.col("i").cast("long").alias("face"), F.array_join("f.features", ",").alias("features"))
+
+
+@query(_REGIONS + """, k AS (SELECT id, face, array_to_string(list_sort(list_distinct(list('seen ' || r.flag) FILTER (NOT r.plane AND r.q > 10))), ',') AS adjacent FROM r JOIN l USING (id, i) GROUP BY 1, 2) SELECT id AS fragment_id, face, coalesce(adjacent, '') AS adjacent FROM k JOIN g USING (id)""")
+def link_adjacent(t):
+    """Each region meets the next face of its record, the last one the first."""
+    rec = with_regions(t)
+    n = F.size("planarity")
+    links = rec.select("fragment_id", F.explode(F.transform("planarity", lambda f, i: F.struct(i.alias("region_id"), ((i + 1) % n).alias("face")))).alias("x")).select("fragment_id", "x.region_id", "x.face")
+    f = views.link_adjacent(rec, links).select("fragment_id", F.posexplode("planarity").alias("i", "f"))
+    return f.select("fragment_id", F.col("i").cast("long").alias("face"), F.array_join(F.array_sort("f.adjacent_features"), ",").alias("adjacent"))
+
+
+@query("SELECT printf('%012d', o_orderkey) AS fragment_id, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 4 = 0 END AS has FROM orders")
+def sidecar_join(t):
+    rec = records(t)
+    kind = rec.schema["scan_coverage"].dataType
+    side = t("orders").filter("o_custkey % 2 = 0").select(F.format_string("%012d", "o_orderkey").alias("fragment_id"), typed(kind, has_unscanned_face=F.col("o_custkey") % 4 == 0).alias("scan_coverage"))
+    return views.with_sidecar(rec, side).select("fragment_id", F.col("scan_coverage.has_unscanned_face").alias("has"))
+
+
+@query("SELECT p_type AS fragment_id, p_partkey AS region_id, CASE WHEN p_size % 3 = 0 THEN p_brand END AS label, CASE WHEN p_size % 3 <> 0 THEN CASE WHEN p_size % 3 = 1 THEN 'sparse_uv' ELSE 'not classified' END END AS skipped FROM part")
+def region_alignment(t):
+    s = F.col("p_size") % 3
+    r = t("part").select(F.col("p_type").alias("fragment_id"), F.col("p_partkey").alias("region_id"), F.when(s == 1, "sparse_uv").alias("skipped"))
+    return views.aligned(r, t("part").filter(s == 0).select(F.col("p_type").alias("fragment_id"), F.col("p_partkey").alias("region_id"), F.col("p_brand").alias("label")))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_type AS image, p_partkey * 37 % 1000 AS x, p_size * 13 AS y FROM part) SELECT p_partkey FROM p n WHERE p_partkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM p u WHERE u.p_partkey % 3 = 1 AND u.image = n.image AND abs(u.x - n.x) < 60 AND abs(u.y - n.y) < 60)""")
+def tiles_apart(t):
+    p = t("part").select("p_partkey", F.col("p_type").alias("image"), (F.col("p_partkey") * 37 % 1000).alias("x"), (F.col("p_size") * 13).alias("y"))
+    return views.apart(p.filter("p_partkey % 3 = 0"), p.filter("p_partkey % 3 = 1"), 60).select("p_partkey")

@@ -28,9 +28,20 @@ procedural STRUCT<handling_class: {_OUTCOME}, drill_zone: STRUCT<value: STRING,
 """
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(SCHEMA + ", _corrupt_record STRING").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.filter(F.col("fragment_id").isNotNull()).drop("_corrupt_record")
+def _read(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    reader = spark.read.schema(SCHEMA + ", _corrupt_record STRING").option("multiLine", True).option("mode", "PERMISSIVE")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
+
+
+def read_records(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Records of the files of a folder whose names match (all if not told). Queries order by fragment_id, which names the files."""
+    return _read(spark, path, glob).filter(F.col("fragment_id").isNotNull()).drop("_corrupt_record")
+
+
+def unreadable(spark: SparkSession, path: str, glob: str | None = None) -> list[str]:
+    """Names of files that hold no record, sorted: for a warning, as read_records leaves them out."""
+    rows = _read(spark, path, glob).filter(F.col("fragment_id").isNull()).select(F.col("_metadata.file_name").alias("f")).distinct()
+    return [r[0] for r in rows.sort("f").collect()]
 
 
 def faces(records: DataFrame) -> DataFrame:
@@ -59,9 +70,17 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return sheet.select("tile", "fragment", label_set(F.col("true_features")).alias("features")).filter("features is not null")
 
 
+def unknown_labels(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """feature, state (unknown or retired) and tiles of labels that the taxonomy (id, retired) does not hold as active: they count as missed."""
+    used = labels.select("tile", F.explode("features").alias("feature")).groupBy("feature").agg(F.count_distinct("tile").alias("tiles"))
+    known = taxonomy.select(F.col("id").alias("_id"), F.coalesce("retired", F.lit(False)).alias("_retired"))
+    both = used.join(known, F.col("feature") == F.col("_id"), "left").filter("_id is null or _retired")
+    return both.select("feature", F.when(F.col("_id").isNull(), "unknown").otherwise("retired").alias("state"), "tiles")
+
+
 def read_votes(spark: SparkSession, path: str) -> DataFrame:
     """batch, run, region, feature of cached vote files named reg_<batch>_run<digit>_...; elements are ids or objects with an id."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), "reg_(.+)_run(\\d)_", 0))
+    raw = spark.read.text(path, wholetext=True).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), "reg_(.+)_run(\\d)_", 0))
     raw = raw.filter("_file <> ''").select(F.regexp_extract("_file", "reg_(.+)_run(\\d)_", 1).alias("batch"), F.regexp_extract("_file", "_run(\\d)_", 1).cast("int").alias("run"), F.from_json("value", "map<string, string>").alias("m"))
     per = raw.select("batch", "run", F.explode("m").alias("region", "answer")).filter("region rlike '^[0-9]+$'")
     votes = per.select("batch", "run", F.col("region").cast("int").alias("region"), F.explode(F.from_json(F.get_json_object("answer", "$.features"), "array<string>")).alias("x"))
@@ -69,5 +88,11 @@ def read_votes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """One folder of JSON a fragment; folders of other fragments stay."""
-    records.withColumn("fragment", F.col("fragment_id")).write.partitionBy("fragment").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+    """One JSON file a fragment, in a folder of its own; folders of other fragments stay."""
+    one = records.withColumn("fragment", F.col("fragment_id")).repartition("fragment")
+    one.write.partitionBy("fragment").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+
+
+def write_sheet(rows: DataFrame, path: str) -> None:
+    """CSV with a header: disagreements, label sheets."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
