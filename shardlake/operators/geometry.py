@@ -209,3 +209,19 @@ def autoscaled(points: DataFrame, key: str) -> DataFrame:
     s = points.groupBy(key).agg(longest.alias("_e")).select(F.col(key).alias("_k"), F.when(F.col("_e") < 10, 1000.0).otherwise(1.0).alias("scale"), "_e")
     both = points.join(s, F.col(key) == F.col("_k"))
     return both.select(*[(F.col(c) * F.col("scale")).alias(c) if c in "xyz" else F.col(c) for c in points.columns], "scale", (F.col("_e") * F.col("scale")).between(50, 5000).alias("plausible"))
+
+
+#: The code of the unscanned side in viewer samples.
+UNSCANNED_CODE = 100
+
+
+def viewer(points: DataFrame, key: str, planes: list[tuple[int, list[float], float]], limit: float = 5.0) -> DataFrame:
+    """Points (key, id, x, y, z, unscanned) with code and places in -1 to 1: the nearest plane within limit whatever the normals, -1 off all, UNSCANNED_CODE on that side.
+
+    Clouds are centred on the middle of their extent and divided by half of the longest one; a cloud of one place stays at 0.
+    """
+    p = nearest_plane(points.withColumn("_c", F.array("x", "y", "z")), planes, "_c", "_c", limit, None).drop("_c")
+    box = points.groupBy(F.col(key).alias("_k")).agg(*[((F.max(c) + F.min(c)) / 2).alias("_m" + c) for c in "xyz"], (F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]) / 2).alias("_h"))
+    both = p.join(box, F.col(key) == F.col("_k"))
+    code = F.when(F.coalesce("unscanned", F.lit(False)), UNSCANNED_CODE).otherwise(F.coalesce("plane", F.lit(-1)))
+    return both.select(key, "id", code.alias("code"), *[F.coalesce(F.try_divide(F.col(c) - F.col("_m" + c), F.col("_h")), F.lit(0.0)).alias(c) for c in "xyz"])

@@ -107,3 +107,15 @@ def exemplar_faults(images: DataFrame, most: int = 4) -> DataFrame:
     many = n.filter(F.col("n") > most).select("label", F.lit(None).cast("string").alias("image"), F.lit("too many").alias("fault"))
     few = n.filter((F.lit(top) >= 2 * F.col("n")) & (F.lit(top) - F.col("n") >= 2)).select("label", F.lit(None).cast("string").alias("image"), F.lit("imbalance").alias("fault"))
     return own.union(many).union(few)
+
+
+def overlay(base: Column, colour: Column, on: Column, weight: float = 0.72, dim: float | None = None) -> Column:
+    """A channel (0 to 255) blended towards a colour where `on`; elsewhere as it is, or times `dim`."""
+    mixed = F.floor(base * (1 - weight) + colour * weight)
+    rest = base if dim is None else F.floor(base * dim)
+    return F.when(F.coalesce(on, F.lit(False)), mixed).otherwise(rest).cast("int")
+
+
+def export_by_label(crops: DataFrame, path: str) -> None:
+    """Candidate crops (label, name, and what else they hold) as Parquet, one folder a label; folders of other labels stay."""
+    crops.filter("label is not null").write.partitionBy("label").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -240,12 +240,12 @@ def link_adjacent(t):
     return f.select("fragment_id", F.col("i").cast("long").alias("face"), F.array_join(F.array_sort("f.adjacent_features"), ",").alias("adjacent"))
 
 
-@query("SELECT printf('%012d', o_orderkey) AS fragment_id, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 4 = 0 END AS has FROM orders")
+@query("SELECT printf('%012d', o_orderkey) AS fragment_id, coalesce(CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 4 = 0 END::VARCHAR, 'none') AS has FROM orders")
 def sidecar_join(t):
     rec = records(t)
     kind = rec.schema["scan_coverage"].dataType
     side = t("orders").filter("o_custkey % 2 = 0").select(F.format_string("%012d", "o_orderkey").alias("fragment_id"), typed(kind, has_unscanned_face=F.col("o_custkey") % 4 == 0).alias("scan_coverage"))
-    return views.with_sidecar(rec, side).select("fragment_id", F.col("scan_coverage.has_unscanned_face").alias("has"))
+    return views.with_sidecar(rec, side).select("fragment_id", F.coalesce(F.col("scan_coverage.has_unscanned_face").cast("string"), F.lit("none")).alias("has"))
 
 
 @query("SELECT p_type AS fragment_id, p_partkey AS region_id, CASE WHEN p_size % 3 = 0 THEN p_brand END AS label, CASE WHEN p_size % 3 <> 0 THEN CASE WHEN p_size % 3 = 1 THEN 'sparse_uv' ELSE 'not classified' END END AS skipped FROM part")

@@ -542,3 +542,17 @@ def exemplar_faults(t):
     s = F.col("p_size")
     i = t("part").select(F.col("p_type").alias("label"), F.concat("p_name", "p_partkey").alias("image"), (90 + s * 9).alias("width"), (500 - s).alias("height"), (s % 8 / 50.0).alias("filler"), (s % 11).alias("detail"), (s % 13 == 0).alias("transparent"))
     return raster.exemplar_faults(i)
+
+
+@query(_VEC + """, q AS (SELECT vec_id, label, e[1] AS x, e[2] AS y, e[3] AS z, vec_id % 17 = 0 AS un FROM v), p AS (SELECT * FROM (VALUES (0, 1.0, 0.0, 0.0, 0.0), (1, 0.0, 1.0, 0.0, 0.02), (2, 0.0, 0.0, 1.0, -0.05), (3, 0.6, 0.8, 0.0, 0.1)) t(plane, a, b, c, d)),
+    h AS (SELECT vec_id, plane FROM q, p WHERE abs(x * a + y * b + z * c + d) < 0.03 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(x * a + y * b + z * c + d), plane) = 1),
+    m AS (SELECT label, (max(x) + min(x)) / 2 AS mx, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 2 AS h FROM q GROUP BY 1)
+    SELECT vec_id AS id, CASE WHEN un THEN 100 ELSE coalesce(plane, -1) END AS code, round((x - mx) / h, 6) AS x FROM q JOIN m USING (label) LEFT JOIN h USING (vec_id)""")
+def viewer_sample(t):
+    p = _vec(t).select("label", F.col("vec_id").alias("id"), *[F.col("e")[k].alias(c) for k, c in enumerate("xyz")], (F.col("vec_id") % 17 == 0).alias("unscanned"))
+    return geometry.viewer(p, "label", PLANES, 0.03).select("id", "code", F.round("x", 6).alias("x"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN floor(event_id % 256 * (1 - 0.72) + 200 * 0.72) ELSE floor(event_id % 256 * 0.18) END::INTEGER AS red FROM events")
+def overlay(t):
+    return t("events").select("event_id", raster.overlay(F.col("event_id") % 256, F.lit(200), F.col("event_type") == "error", dim=0.18).alias("red"))
