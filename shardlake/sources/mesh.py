@@ -66,8 +66,77 @@ def parse_obj(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(points, dtype=float).reshape(-1, 3), np.array(faces, dtype=np.int64).reshape(-1, 3)
 
 
+PLY = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+
+
+def parse_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Points and triangles (polygons as fans; none for a cloud) of a PLY file, text or binary. ValueError if it is none."""
+    head, end, body = data.partition(b"end_header\n")
+    if not end or not head.startswith(b"ply"):
+        raise ValueError("not a PLY file")
+    order, elements = "", []
+    for word in (line.split() for line in head.decode("ascii", "replace").splitlines()):
+        if word[:1] == ["format"]:
+            order = {"ascii": "", "binary_little_endian": "<", "binary_big_endian": ">"}[word[1]]
+        elif word[:1] == ["element"]:
+            elements.append((word[1], int(word[2]), []))
+        elif word[:1] == ["property"]:
+            elements[-1][2].append(word[1:])
+    text, at = iter(body.split()) if not order else None, 0
+
+    def number(kind: str):
+        nonlocal at
+        if text is not None:
+            return float(next(text))
+        value = np.frombuffer(body, order + PLY[kind], 1, at)[0]
+        at += value.itemsize
+        return value
+
+    points, faces = np.zeros((0, 3)), []
+    for name, count, fields in elements:
+        plain = [f for f in fields if f[0] != "list"]
+        if order and len(plain) == len(fields):  # rows of one size are read at once
+            kind = np.dtype([(f[1], order + PLY[f[0]]) for f in fields])
+            rows = np.frombuffer(body, kind, count, at)
+            at += kind.itemsize * count
+        else:
+            rows = [{f[-1]: [number(f[2]) for _ in range(int(number(f[1])))] if f[0] == "list" else number(f[0]) for f in fields} for _ in range(count)]
+        if name == "vertex":
+            points = np.column_stack([[float(r[c]) for r in rows] if isinstance(rows, list) else rows[c].astype(float) for c in "xyz"]).reshape(-1, 3)
+        elif name == "face":
+            for r in rows:
+                v = [int(x) for x in next(iter(x for x in r.values() if isinstance(x, list)))]
+                faces += [(v[0], v[n], v[n + 1]) for n in range(1, len(v) - 1)]
+    return points, np.array(faces, dtype=np.int64).reshape(-1, 3)
+
+
+def _parsed(name: str, data: bytes) -> tuple | None:
+    """Points, triangles and texture places of a file by its name; null if it cannot be read."""
+    try:
+        if name.lower().endswith(".glb"):
+            return parse_glb(data)
+        return (*(parse_ply(data) if name.lower().endswith(".ply") else parse_obj(data.decode("utf-8", "replace"))), None)
+    except (ValueError, KeyError, IndexError, struct.error, TypeError, StopIteration, RuntimeError):
+        return None
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """One row a vertex of the PLY, GLB and OBJ files under a path: file, id, x, y, z. Files that cannot be read give no row."""
+
+    def decode(batches):
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if (got := _parsed(name, data)) is not None:
+                    for at in range(0, len(got[0]), 50000):
+                        p = got[0][at : at + 50000]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(p)), pa.array(np.arange(at, at + len(p))), *(pa.array(p[:, n]) for n in range(3))], names=["path", "id", "x", "y", "z"])
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return raw.filter(F.lower("path").rlike("\\.(ply|glb|obj)$")).mapInArrow(decode, "path string, id long, x double, y double, z double")
+
+
 def read_meshes(spark: SparkSession, path: str) -> DataFrame:
-    """One row a triangle of the GLB and OBJ files under a path: file, face, corners a, b, c, their vertex numbers, texture places (null without).
+    """One row a triangle of the PLY, GLB and OBJ files under a path: file, face, corners a, b, c, their vertex numbers, texture places (null without).
 
     Files are decoded one by one in the tasks that read them; those that cannot be read give no row.
     """
@@ -75,10 +144,10 @@ def read_meshes(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    points, faces, uv = parse_glb(data) if name.lower().endswith(".glb") else (*parse_obj(data.decode("utf-8", "replace")), None)
-                except (ValueError, KeyError, IndexError, struct.error, TypeError):
+                got = _parsed(name, data)
+                if got is None:
                     continue
+                points, faces, uv = got
                 for at in range(0, len(faces), 50000):
                     f = faces[at : at + 50000]
                     cols = [pa.array([name] * len(f)), pa.array(np.arange(at, at + len(f)))]
@@ -87,7 +156,7 @@ def read_meshes(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, names=["path", "face", "a", "b", "c", "i", "j", "k", "ua", "ub", "uc"])
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return raw.filter(F.lower("path").rlike("\\.(glb|obj)$")).mapInArrow(decode, CORNERS)
+    return raw.filter(F.lower("path").rlike("\\.(ply|glb|obj)$")).mapInArrow(decode, CORNERS)
 
 
 def sources(spark: SparkSession, path: str) -> DataFrame:

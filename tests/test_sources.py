@@ -43,6 +43,19 @@ def test_meshes(spark, tmp_path):
     assert [(r.fragment_id, r.path[-5:]) for r in mesh.sources(spark, str(tmp_path)).collect()] == [("A", "A.glb"), ("B", "B.obj"), ("D", "D.ply")]
 
 
+def test_ply_files(spark, tmp_path):
+    head = "ply\nformat {}\ncomment x\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    square = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0)]
+    (tmp_path / "text.ply").write_text(head.format("ascii 1.0") + "".join(f"{x} {y} {z} 7\n" for x, y, z in square) + "4 0 1 2 3\n")
+    for name, mark in (("binary_little_endian", "<"), ("binary_big_endian", ">")):
+        (tmp_path / f"{name}.ply").write_bytes(head.format(f"{name} 1.0").encode() + b"".join(struct.pack(f"{mark}3fB", *p, 7) for p in square) + struct.pack(f"{mark}B4i", 4, 0, 1, 2, 3))
+    (tmp_path / "cloud.ply").write_text("ply\nformat ascii 1.0\nelement vertex 2\nproperty double x\nproperty double y\nproperty double z\nend_header\n1 2 3\n4 5 6\n")
+    (tmp_path / "cut.ply").write_text(head.format("ascii 1.0") + "0 0")
+    areas = {r.path.split("/")[-1]: (r.faces, r.area) for r in geometry.totals(mesh.read_meshes(spark, str(tmp_path)), "path").collect()}
+    assert areas == {n: (2, 1.0) for n in ("text.ply", "binary_little_endian.ply", "binary_big_endian.ply")}
+    assert {r[0].split("/")[-1]: r[1] for r in mesh.read_points(spark, str(tmp_path)).groupBy("path").count().collect()} == {**{n: 4 for n in areas}, "cloud.ply": 2}
+
+
 def test_exemplars_and_config(spark, tmp_path):
     for name in ("rebar/a.png", "_old/b.png", "gone/c.jpg", "rebar/d.txt"):
         (tmp_path / "x" / name).parent.mkdir(parents=True, exist_ok=True)
