@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html, langid, license, mixing, quality, simhash, substring, topk
+import public_tokenizers
+
+from . import bpe, chat, decontam, html, langid, license, mixing, periodic, quality, simhash, substring, topk, trie
 from .common import table
 
 QUERIES = {
@@ -16,5 +18,8 @@ QUERIES = {
     "op8_simhash_pigeonhole": lambda s, d: simhash.op8(table(s, d, "documents")),
     "op9_license_diagonals": lambda s, d: license.op9(table(s, d, "documents")),
     "op10_benchmark_wand": lambda s, d: decontam.op10(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op11_periodic_grid": lambda s, d: periodic.op11(table(s, d, "documents")),
+    "op12_bpe_boundaries": lambda s, d: bpe.op12(table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+    "op13_prefix_trie": lambda s, d: trie.op13(table(s, d, "conversations")),
 }
-SQL = {"op1_preference_format": chat.SQL, "op4_topk_accumulate": topk.SQL, "op5_mix_histogram": mixing.SQL, "op9_license_diagonals": license.SQL}
+SQL = {"op1_preference_format": chat.SQL, "op4_topk_accumulate": topk.SQL, "op5_mix_histogram": mixing.SQL, "op9_license_diagonals": license.SQL, "op13_prefix_trie": trie.SQL}
