@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardlake.operators import rules as compiled
 from shardlake.operators.query import own_labels, usable_area, without_surface
 
 
@@ -54,6 +53,11 @@ def face_test(face: Column, rule: dict, *, exact_label: bool = False, fine: Colu
     return _both(tests)
 
 
+#: What is said of an outcome.
+_OUTCOME = ("value", "rule", "note", "reason", "data_status")
+#: Outcomes that derive can make.
+OUTCOMES = ("connection_strategy", "design_assignment", "finishing_requirement", "handling_class", "use_suggestions", "drill_zone")
+
 #: Bounds whose measured value a trace states, in the order of the trace, with the value's name and format.
 _TRACED = (
     ("min_area_m2", "area", "area %.3f m2 >= {}"),
@@ -86,10 +90,10 @@ def trace(name: str, index: int, rule: dict, values: dict[str, Column], label: C
 
 
 def _traced(tests: list[tuple[Column, str, tuple[Column, Column, Column]]]) -> Column:
-    """(value, rule, note, reason, data_status) of the first test that holds."""
-    value, index = compiled.first_match([(t, v) for t, v, _ in tests])
-    pick = lambda k, default: F.element_at(F.array(*[x[k] for *_, x in tests], F.lit(default).cast("string")), index)
-    return F.struct(value.alias("value"), pick(0, None).alias("rule"), pick(1, "").alias("note"), pick(2, "no rule matched").alias("reason"), F.lit(None).cast("string").alias("data_status"))
+    """(value, rule, note, reason, data_status) of the first test that holds: one branch a rule, so a row formats the reason of that rule alone."""
+    said = lambda *x: F.struct(*[(c if isinstance(c, Column) else F.lit(c)).cast("string").alias(n) for n, c in zip(_OUTCOME, (*x, None))])
+    none = said(None, None, "", "no rule matched")
+    return reduce(lambda later, x: F.when(x[0], said(x[1], *x[2])).otherwise(later), reversed(tests), none)
 
 
 def outcome(face: Column, rules: list[dict], key: str, name: str, exact_label: bool = False) -> Column:
@@ -192,10 +196,11 @@ def uses(rules: list[dict]) -> Column:
     return F.filter(F.array(*out), lambda u: u.isNotNull())
 
 
-def derive(records: DataFrame, factors: dict, withheld: str = "not published", publish: bool = False) -> DataFrame:
-    """Derive all outcomes anew, with rule, note and reason: of every face and of the record. Fields that no rule makes stay as they are.
+def derive(records: DataFrame, factors: dict, withheld: str = "not published", publish: bool = False, only: tuple[str, ...] = OUTCOMES) -> DataFrame:
+    """Derive outcomes anew, with rule, note and reason: of every face and of the record. Fields that no rule makes stay as they are.
 
-    Treatment and drill zone are withheld (null, status `withheld`, the given reason) unless publish is set.
+    Treatment and drill zone are withheld (null, status `withheld`, the given reason) unless publish is set. `only` names the outcomes to make; the
+    others stay as they were. Each record is derived once: what later steps ask of the outcomes is not pushed below.
     """
     kind = records.schema["procedural"].dataType
     face_kind = records.schema["planarity"].dataType.elementType["procedural"].dataType
@@ -207,26 +212,34 @@ def derive(records: DataFrame, factors: dict, withheld: str = "not published", p
         return F.struct(*[_as(fields[n][0], t, *fields[n][1:]).alias(n) if n in fields else block[n].alias(n) for n, t in said.items()])
 
     def side(f: Column) -> Column:
-        done = {
-            "connection_strategy": (outcome(f, factors["connection_strategy"]["rules"], "strategy", "connection_strategy", exact_label=True), _OUTCOME),
-            "design_assignment": (outcome(f, factors["design_assignment"]["rules"], "assignment", "design_assignment"), _OUTCOME),
-            "finishing_requirement": (closed, _OUTCOME), "data_status": (F.lit("proposed"),),
-        }
+        done = {"data_status": (F.lit("proposed"),)}
+        if "connection_strategy" in only:
+            done["connection_strategy"] = outcome(f, factors["connection_strategy"]["rules"], "strategy", "connection_strategy", exact_label=True), _OUTCOME
+        if "design_assignment" in only:
+            done["design_assignment"] = outcome(f, factors["design_assignment"]["rules"], "assignment", "design_assignment"), _OUTCOME
+        if "finishing_requirement" in only:
+            done["finishing_requirement"] = closed, _OUTCOME
         return f.withField("procedural", put(f["procedural"], done, face_kind))
 
-    faces = F.transform("planarity", side)
-    if publish:
+    made = {}
+    if set(only) & {"connection_strategy", "design_assignment", "finishing_requirement"}:
+        made["planarity"] = F.transform("planarity", side)
+    if publish and "finishing_requirement" in only:
         rules = (factors.get("finishing_requirement") or {}).get("rules", [])
-        faces = F.transform(faces, lambda f: f.withField("procedural", put(f["procedural"], {"finishing_requirement": (finishing(f, rules, F.col("curvature.fine_mm.mean_rad")), _OUTCOME[:2])}, face_kind)))
-    whole = {
-        "handling_class": (handling(factors["handling_class"]), _OUTCOME), "use_suggestions": (uses(factors["use_suggestions"]["rules"]),),
-        "drill_zone": (drill_zone(factors["drill_zone"]), _DRILL) if publish else (closed, _OUTCOME), "data_status": (F.lit("proposed"),),
-        "faces_evaluated": (F.coalesce(F.nullif(F.size("planarity"), F.lit(-1)), F.lit(0)),), "basis": (F.lit(factors.get("_status")),),
-    }
-    return records.withColumn("planarity", faces).withColumn("procedural", put(F.col("procedural"), whole, kind))
+        made["planarity"] = F.transform(made["planarity"], lambda f: f.withField("procedural", put(f["procedural"], {"finishing_requirement": (finishing(f, rules, F.col("curvature.fine_mm.mean_rad")), _OUTCOME[:2])}, face_kind)))
+    whole = {"data_status": (F.lit("proposed"),), "faces_evaluated": (F.coalesce(F.nullif(F.size("planarity"), F.lit(-1)), F.lit(0)),), "basis": (F.lit(factors.get("_status")),)}
+    if "handling_class" in only:
+        whole["handling_class"] = handling(factors["handling_class"]), _OUTCOME
+    if "use_suggestions" in only:
+        whole["use_suggestions"] = (uses(factors["use_suggestions"]["rules"]),)
+    if "drill_zone" in only:
+        whole["drill_zone"] = (drill_zone(factors["drill_zone"]), _DRILL) if publish else (closed, _OUTCOME)
+    made["procedural"] = put(F.col("procedural"), whole, kind)
+    # a generator of one row is a border that filters and projections are not moved across
+    once = records.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("_made"))
+    return once.select(*[F.col(f"_made.{n}").alias(n) if n in made else F.col(n) for n in records.columns])
 
 
-_OUTCOME = ("value", "rule", "note", "reason", "data_status")
 _DRILL = ("value", "rule", "clear_core_mm_est", "cover_mm_assumed", "entry_faces")
 
 
@@ -237,9 +250,9 @@ def _as(value: Column, kind, names: tuple = ()) -> Column:
     return F.struct(*[(value[f.name].cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields])
 
 
-def geometry_only(records: DataFrame, factors: dict, strip_adjacent: bool = True) -> DataFrame:
-    """The ablation: what was seen on surfaces is withheld, and all outcomes are derived again from geometry alone."""
-    return derive(without_surface(records, strip_adjacent), factors)
+def geometry_only(records: DataFrame, factors: dict, strip_adjacent: bool = True, only: tuple[str, ...] = OUTCOMES) -> DataFrame:
+    """The ablation: what was seen on surfaces is withheld, and all outcomes (or those of `only`) are derived again from geometry alone."""
+    return derive(without_surface(records, strip_adjacent), factors, only=only)
 
 
 def use_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a table in the shared checkpoint folder, whose size is that of its files (a checkpoint's estimate multiplies with every join)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -24,7 +24,7 @@ def _cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def _drop(*tables: DataFrame) -> None:
+def drop(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
@@ -38,19 +38,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Null ends take no part; a loop makes a component of its own.
     """
     ordered = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = _cut(ordered(edges.filter("a is not null and b is not null")))
-    found = _cut(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    rest = cut(ordered(edges.filter("a is not null and b is not null")))
+    found = cut(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     open_ = rest.filter("a <> b")
     while not open_.isEmpty():
-        one = _cut(open_.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("to")))
+        one = cut(open_.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("to")))
         again = one.select(F.col("from").alias("f2"), F.col("to").alias("t2"))
-        up = _cut(one.join(again, F.col("to") == F.col("f2"), "left").select("from", F.coalesce("t2", "to").alias("to")))
-        named = _cut(found.join(up, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")))
+        up = cut(one.join(again, F.col("to") == F.col("f2"), "left").select("from", F.coalesce("t2", "to").alias("to")))
+        named = cut(found.join(up, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")))
         moved = open_.join(up, F.col("a") == F.col("from")).select(F.col("to").alias("a"), "b")
         moved = moved.join(up.select(F.col("from").alias("f2"), F.col("to").alias("t2")), F.col("b") == F.col("f2"), "left").select("a", F.coalesce("t2", "b").alias("b"))
-        left = _cut(ordered(moved.filter("a <> b")))
-        _drop(one, up, found, rest)
+        left = cut(ordered(moved.filter("a <> b")))
+        drop(one, up, found, rest)
         found, rest = named, left
         open_ = rest
-    _drop(rest)
+    drop(rest)
     return found

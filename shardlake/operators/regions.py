@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardlake.operators.graph import _cut, connected_components
+from shardlake.operators.graph import connected_components, cut
 from shardlake.operators.rules import first_match
 
 # The gates of readable regions, in order.
@@ -49,13 +49,13 @@ def propagate(labels: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFram
 
     Equal counts go to the smallest label. Cells that no label reaches stay null.
     """
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    now = _cut(labels.select("cell", "label", F.lit(False).alias("inferred")))
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    now = cut(labels.select("cell", "label", F.lit(False).alias("inferred")))
     for _ in range(rounds):
         known = now.filter("label is not null").select(F.col("cell").alias("b"), "label")
         votes = both.join(now.filter("label is null").select(F.col("cell").alias("a")), "a").join(known, "b").groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"))
         won = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("m"), "label"))["label"].alias("new"))
-        step = _cut(now.join(won, F.col("cell") == F.col("a"), "left"))
+        step = cut(now.join(won, F.col("cell") == F.col("a"), "left"))
         now = step.select("cell", F.coalesce("label", "new").alias("label"), (F.col("inferred") | F.col("new").isNotNull()).alias("inferred"))
         if step.filter("new is not null").isEmpty():
             break

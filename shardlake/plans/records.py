@@ -37,7 +37,7 @@ def records(t) -> DataFrame:
     kind = StructType.fromDDL(SCHEMA)
     face = kind["planarity"].dataType.elementType
     line = typed(
-        face, area_m2_est=F.floor("l_extendedprice") / 100, contiguous_area_m2=F.when(F.col("l_tax") > 0.02, F.col("l_quantity")), fit_rms_mm=F.round(F.col("l_discount") * 100),
+        face, area_m2_est=F.floor("l_extendedprice") / 100, contiguous_area_m2=F.when(F.col("l_tax") > 0.02, F.col("l_quantity")), fit_rms_mm=F.round(F.col("l_discount") * 100) + 0.0,
         scan_reliable=F.when(F.col("l_tax") >= 0.01, F.col("l_tax") < 0.07), surface_label=F.col("l_returnflag"),
         features=F.when(F.col("l_partkey") % 11 == 0, F.array("l_linestatus", F.lit("brick"))).otherwise(F.array("l_linestatus")),
         adjacent_features=F.when(F.col("l_partkey") % 7 == 0, F.array(F.lit("brick"))), anomalies=F.when(F.col("l_suppkey") % 3 == 0, F.array(F.struct(F.lit("rust").alias("label")))))
@@ -71,7 +71,7 @@ def select_conjunction_topk(t):
 
 @query(_BASE + "SELECT id AS fragment_id FROM g WHERE EXISTS (SELECT 1 FROM c WHERE c.id = g.id AND con = 2) AND EXISTS (SELECT 1 FROM c WHERE c.id = g.id AND asg = 3)")
 def independent_any_faces(t):
-    return ask.select(design.derive(records(t), RULES), connection="direct_bolt", assignment="seat_face").select("fragment_id")
+    return ask.select(design.derive(records(t), RULES, only=("connection_strategy", "design_assignment")), connection="direct_bolt", assignment="seat_face").select("fragment_id")
 
 
 @query(_BASE + f"SELECT id AS fragment_id, {_IDX} AS why FROM f WHERE flag = 'A' GROUP BY id")
@@ -93,7 +93,7 @@ def anomaly_rank_area(t):
 
 @query(_BASE + "SELECT id AS fragment_id, thick AS thickness FROM g WHERE mass <= 12000 AND (longest > 1400 OR mass > 9000) ORDER BY thickness DESC, id LIMIT 40")
 def handling_rank_thickness(t):
-    got = ask.select(design.derive(records(t), RULES), handling="excavator", max_mass=12000, rank_by="thickness", top_k=40)
+    got = ask.select(design.derive(records(t), RULES, only=("handling_class",)), handling="excavator", max_mass=12000, rank_by="thickness", top_k=40)
     return got.select("fragment_id", F.array_min("bounding.obb_dims_mm").alias("thickness"))
 
 
@@ -109,26 +109,26 @@ def rank_faces(t):
     ELSE printf('estimated mass %.1f kg, above every band', mass) END AS reason FROM g""")
 def banded_override(t):
     h = F.col("procedural.handling_class")
-    return design.derive(records(t), RULES).select("fragment_id", h["value"].alias("value"), h["rule"].alias("rule"), h["reason"].alias("reason"))
+    return design.derive(records(t), RULES, only=("handling_class",)).select("fragment_id", h["value"].alias("value"), h["rule"].alias("rule"), h["reason"].alias("reason"))
 
 
 def _outcomes(t, name: str) -> DataFrame:
     """Outcomes of faces in their stored form: (fragment_id, face, value, rule, note, reason)."""
     one = F.posexplode("planarity").alias("face", "f")
-    return design.derive(records(t), RULES).select("fragment_id", one).select("fragment_id", (F.col("face") + 1).cast("long").alias("face"), *[F.col(f"f.procedural.{name}.{c}").alias(c) for c in ("value", "rule", "note", "reason")])
+    return design.derive(records(t), RULES, only=(name,)).select("fragment_id", one).select("fragment_id", (F.col("face") + 1).cast("long").alias("face"), *[F.col(f"f.procedural.{name}.{c}").alias(c) for c in ("value", "rule", "note", "reason")])
 
 
 @query(_BASE + """SELECT id AS fragment_id, i AS face, ['gravity_only', 'direct_bolt', 'bracket', 'gravity_only'][con] AS value, 'connection_strategy#' || con AS rule, ['not seen', 'flat', 'fair', 'rough'][con] AS note,
     CASE con WHEN 1 THEN 'face scan_reliable = False' WHEN 2 THEN printf('area %.3f m2 >= 20; RMS %.2f mm <= 3.0', area, abs(rms)) WHEN 3 THEN printf('RMS %.2f mm <= 7.0', abs(rms)) ELSE 'default rule, no condition tested' END AS reason FROM c JOIN g USING (id)""")
 def connection_outcomes(t):
-    return _outcomes(t, "connection_strategy").withColumn("reason", F.replace("reason", F.lit("RMS -0.00"), F.lit("RMS 0.00")))
+    return _outcomes(t, "connection_strategy")
 
 
 @query(_BASE + """, l AS (SELECT *, array_to_string(list_sort(list_filter([flag, status, CASE WHEN brick THEN 'brick' END], lambda x: x IS NOT NULL)), ', ') AS labels FROM c)
     SELECT id AS fragment_id, i AS face, ['buried', 'show_face', 'seat_face', 'unassigned'][asg] AS value, 'design_assignment#' || asg AS rule, ['not seen', 'seen', 'flat', 'none'][asg] AS note,
     CASE asg WHEN 1 THEN 'face scan_reliable = False' WHEN 2 THEN 'feature ' || labels WHEN 3 THEN printf('area %.3f m2 >= 25; RMS %.2f mm <= 6.0; feature ', area, abs(rms)) || labels ELSE 'default rule, no condition tested' END AS reason FROM l JOIN g USING (id)""")
 def first_match_label_sets(t):
-    return _outcomes(t, "design_assignment").withColumn("reason", F.replace("reason", F.lit("RMS -0.00"), F.lit("RMS 0.00")))
+    return _outcomes(t, "design_assignment")
 
 
 _USES = """, u AS (SELECT g.id, 1 AS k, 'bench' AS use, string_agg((i - 1)::VARCHAR, ',' ORDER BY i) AS faces FROM g JOIN f USING (id) WHERE area >= 45 AND rms <= 4 AND (long BETWEEN 300 AND 520 OR 500 BETWEEN 300 AND 520 OR thin BETWEEN 300 AND 520) GROUP BY g.id
@@ -140,7 +140,7 @@ _USES = """, u AS (SELECT g.id, 1 AS k, 'bench' AS use, string_agg((i - 1)::VARC
 
 @query(_BASE + _USES + "SELECT id AS fragment_id, k AS rank, use, faces FROM u")
 def use_rules_exists_notexists(t):
-    u = design.derive(records(t), RULES).select("fragment_id", F.explode("procedural.use_suggestions").alias("u"))
+    u = design.derive(records(t), RULES, only=("use_suggestions",)).select("fragment_id", F.explode("procedural.use_suggestions").alias("u"))
     rank = F.array_position(F.array(*[F.lit(r["id"]) for r in RULES["use_suggestions"]["rules"]]), F.col("u.id")).cast("int")
     return u.select("fragment_id", rank.alias("rank"), F.col("u.id").alias("use"), F.array_join(F.transform("u.faces", lambda i: i.cast("string")), ",").alias("faces"))
 
@@ -148,30 +148,30 @@ def use_rules_exists_notexists(t):
 @query(_BASE + _USES + "SELECT id AS fragment_id, '' AS added, string_agg(use, ',' ORDER BY k) AS removed FROM u WHERE use IN ('show', 'rust') GROUP BY id")
 def ablation_rederive_diff(t):
     """Uses that go when what was seen on surfaces is withheld: those whose rules ask for labels or anomalies."""
-    whole = design.derive(records(t), RULES)
-    both = design.use_changes(whole, design.geometry_only(whole, RULES)).filter("size(added) + size(removed) > 0")
+    whole = design.derive(records(t), RULES, only=("use_suggestions",))
+    both = design.use_changes(whole, design.geometry_only(whole, RULES, only=("use_suggestions",))).filter("size(added) + size(removed) > 0")
     return both.select("fragment_id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
 @query(_BASE + _USES + """, l AS (SELECT id, string_agg(['Bench', 'Show', 'Rust', 'Cut'][k], ', ' ORDER BY k) AS uses FROM u GROUP BY id) SELECT id AS fragment_id, coalesce(uses, '(none)') AS uses FROM g LEFT JOIN l USING (id)""")
 def list_uses(t):
-    return ask.list_uses(design.derive(records(t), RULES))
+    return ask.list_uses(design.derive(records(t), RULES, only=("use_suggestions",)))
 
 
 @query(_BASE + _USES + "SELECT use, min(['Bench', 'Show', 'Rust', 'Cut'][k]) AS label, count(DISTINCT id) AS records FROM u GROUP BY use")
 def use_options(t):
-    return ask.use_options(design.derive(records(t), RULES))
+    return ask.use_options(design.derive(records(t), RULES, only=("use_suggestions",)))
 
 
 @query(_BASE + f""", x AS (SELECT id, {_IDX} AS places FROM u_show GROUP BY id) SELECT id AS fragment_id, 'use show via ' || places AS why FROM x""".replace("x AS", "u_show AS (SELECT g.id, i FROM g JOIN f USING (id) WHERE brick AND flag <> 'N' AND mass >= 1000 AND longest / thick <= 30), x AS"))
 def select_use(t):
-    return _why(ask.select(design.derive(records(t), RULES), use="show"))
+    return _why(ask.select(design.derive(records(t), RULES, only=("use_suggestions",)), use="show"))
 
 
 @query(_BASE + "SELECT c.id AS fragment_id, count(*) AS faces, count(DISTINCT asg) AS kinds, count(*) FILTER (asg = 2) AS shown FROM c JOIN g USING (id) GROUP BY 1")
 def assignment_counts(t):
     a = F.transform("planarity", lambda f: f["procedural"]["design_assignment"]["value"])
-    d = design.derive(records(t), RULES).filter(F.size("planarity") > 0)
+    d = design.derive(records(t), RULES, only=("design_assignment",)).filter(F.size("planarity") > 0)
     return d.select("fragment_id", F.size(a).cast("long").alias("faces"), F.size(F.array_distinct(a)).cast("long").alias("kinds"), F.size(F.filter(a, lambda x: x == "show_face")).cast("long").alias("shown"))
 
 
@@ -199,7 +199,7 @@ def with_regions(t) -> DataFrame:
 
 @query(_BASE + """SELECT id AS fragment_id, i AS face, printf('%.3f', area) AS surface, abs(rms) AS rms, ['gravity_only', 'direct_bolt', 'bracket', 'gravity_only'][con] AS connection, ['buried', 'show_face', 'seat_face', 'unassigned'][asg] AS assignment FROM c JOIN g USING (id)""")
 def face_table(t):
-    f = views.face_table(design.derive(records(t), RULES))
+    f = views.face_table(design.derive(records(t), RULES, only=("connection_strategy", "design_assignment")))
     return f.select("fragment_id", F.col("face").cast("long").alias("face"), "surface", F.abs("rms").alias("rms"), "connection", "assignment")
 
 
@@ -221,7 +221,7 @@ def coverage_bar(t):
 @query(_BASE + _USES + """, n AS (SELECT id, count(*) AS n FROM f GROUP BY 1), m AS (SELECT id, count(*) AS n FROM u GROUP BY 1) SELECT id AS fragment_id, mass, long::BIGINT || ' x 500 x ' || thin::BIGINT AS dims, coalesce(n.n, 0) AS faces,
     CASE WHEN longest > 1400 OR mass > 9000 THEN 'excavator' WHEN mass <= 2500 THEN 'manual' ELSE 'two_person' END AS handling, coalesce(m.n, 0) AS uses FROM g LEFT JOIN n USING (id) LEFT JOIN m USING (id)""")
 def inventory(t):
-    return views.inventory(design.derive(records(t), RULES))
+    return views.inventory(design.derive(records(t), RULES, only=("handling_class", "use_suggestions")))
 
 
 @query(_REGIONS + """SELECT id AS fragment_id, i AS face, CASE WHEN plane THEN CASE WHEN q > 10 THEN 'seen ' || flag ELSE '' END ELSE status || CASE WHEN brick THEN ',brick' ELSE '' END END AS features FROM r JOIN g USING (id)""")
