@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from functools import wraps
 from pathlib import Path
 from uuid import uuid4
 
@@ -78,6 +79,27 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
+def carried(*needs: str):
+    """For operators that add columns to whole rows: the caller's other columns travel as one struct, so that no name of theirs meets one of the operator's own.
+
+    Columns that the operator makes replace those of the same name and stand last; the others keep their order.
+    """
+
+    def wrap(f):
+        @wraps(f)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in needs]
+            lean = docs.select(*[c for c in needs if c in docs.columns], *([F.struct(*rest).alias("_carried")] if rest else []))
+            out = f(lean, *args, **kwargs)
+            new = [c for c in out.columns if c not in needs and c != "_carried"]
+            kept = [F.col(c) if c in needs else F.col(f"_carried.`{c}`").alias(c) for c in docs.columns if c not in new]
+            return out.select(*kept, *new)
+
+        return run
+
+    return wrap
+
+
 def ship(df: DataFrame) -> None:
     """Send the package to the executors, once a context: they need not have it installed."""
     sc = df.sparkSession.sparkContext

@@ -6,13 +6,15 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import durable, ship
+from .common import carried, durable, kept, ship
 
 #: Words of the items of one index (about 100 bytes each in memory), items of a block, and the retrieval threshold as a share of an
 #: item's own score. INDEX and BLOCK bound memory and work, never the result.
@@ -164,16 +166,17 @@ class Shard:
         return found
 
 
+@carried("doc_id", "text")
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Add n_items, items (ids, ascending, comma-joined, null last as `null`) and overlap (the largest share) to every document.
 
     Null and empty texts have no hit; an item whose text is null or has no word is none; of items with equal or null ids each is
     looked up, and the id counts once. Document frequencies and the mean length are those of all items; items are dealt
-    to shards of about INDEX words, each one pass over the documents, so what tasks hold is bounded. The result depends on neither.
+    to shards of about INDEX words, each one pass over the documents in a job of its own, so a task holds one shard. The result depends on neither.
     Rows are independent; columns of these names are replaced.
     """
     ship(docs)
-    lean = docs.drop("n_items", "items", "overlap", "_hits")
+    lean = docs
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").filter("text is not null")
 
     def cut(batches):
@@ -185,33 +188,44 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     items = durable(items.mapInArrow(cut, "id long, text string, n long, terms array<string>"))
     total, n = items.agg(F.sum("n"), F.count(F.lit(1))).first()
-    out = lean.withColumn("_hits", F.array().cast("array<struct<id:bigint,share:double>>"))
     shards = (total or 0) // INDEX + 1
+    one = lean.select(*lean.columns, F.lit(None).cast(_HITS).alias("_hits"))
     if n:
         mine = items.withColumn("s", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
         df = durable(items.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")))
-    for s in range(shards if n else 0):
-        own = mine.filter(F.col("s") == s)
-        known = own.select(F.explode("terms").alias("t")).distinct().join(df, "t").collect()
-        rows = sorted(map(tuple, own.select("id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        if rows:
-            shard = docs.sparkSession.sparkContext.broadcast(Shard(rows, dict(map(tuple, known)), n, total / n))
-            out = out.mapInArrow(_probe(shard), out.schema)
+
+        def shard(s: int):
+            own = mine.filter(F.col("s") == s)
+            known = own.select(F.explode("terms").alias("t")).distinct().join(df, "t").collect()
+            rows = sorted(map(tuple, own.select("id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            return docs.sparkSession.sparkContext.broadcast(Shard(rows, dict(map(tuple, known)), n, total / n))
+
+        if shards == 1:
+            one = lean.mapInArrow(_probe(shard(0)), StructType([*lean.schema.fields, StructField("_hits", _HITS)]))
+        else:
+            # one shard a stage: its hits are written, by digest of the text, before the next shard is made
+            parts = []
+            for s in range(shards):
+                index = shard(s)
+                parts.append(kept(lean.filter("text is not null").select("text").mapInArrow(_probe(index), StructType([StructField("text", StringType()), StructField("_hits", _HITS)])).filter("size(_hits) > 0").select(F.unhex(F.md5("text")).alias("_of"), F.explode("_hits").alias("x"))))
+                index.unpersist()
+            best = reduce(DataFrame.unionByName, parts).groupBy("_of", F.col("x.id").alias("id")).agg(F.max("x.share").alias("share"))
+            best = best.groupBy("_of").agg(F.collect_list(F.struct("id", "share")).alias("_hits"))
+            one = lean.join(best, F.unhex(F.md5("text")) == F.col("_of"), "left").select(*lean.columns, "_hits")
+    out = one.withColumn("_hits", F.coalesce("_hits", F.array().cast(_HITS)))
     h = F.array_sort(F.transform("_hits", lambda x: F.struct(x["id"].isNull().alias("nil"), x["id"].alias("id"), x["share"].alias("share"))))
     return out.select(*lean.columns, F.size("_hits").cast("long").alias("n_items"), F.array_join(F.transform(h, lambda x: F.coalesce(x["id"].cast("string"), F.lit("null"))), ",").alias("items"), F.coalesce(F.array_max(F.transform("_hits", lambda x: x["share"])), F.lit(0.0)).alias("overlap"))
 
 
+_HITS = ArrayType(StructType([StructField("id", LongType()), StructField("share", DoubleType())]))
+
+
 def _probe(shard):
     def run(batches):
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("share", pa.float64())]))
         for b in batches:
-            at = b.schema.names.index("_hits")
-            hits = []
-            for old, text in zip(b.column(at).to_pylist(), b.column(b.schema.names.index("text")).to_pylist()):
-                got = {x["id"]: x["share"] for x in old}
-                for i, x in shard.value.hits(text).items():
-                    got[i] = max(got.get(i, 0.0), x)
-                hits.append([{"id": i, "share": x} for i, x in got.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(hits, b.schema.field(at).type) if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+            hits = [[{"id": i, "share": x} for i, x in shard.value.hits(t).items()] for t in b.column(b.schema.names.index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, kind)], names=[*b.schema.names, "_hits"])
 
     return run
 

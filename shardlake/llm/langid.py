@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,8 +17,8 @@ from .common import durable, held_out, ship
 SAMPLE, HASHES, N = 400, 3, 4
 #: Slots a learned n-gram of the largest language: with HASHES of them set for each, one in seven slots has that language's bit.
 SLOTS = 20
-#: A language with fewer recurring n-grams (in two or more of its sampled documents) is thin: a low coverage tells nothing about its texts.
-RECURRING = 1000
+#: Share of a language's own documents that may lie under the least coverage asked of it.
+ERROR = 0.05
 #: Most chosen documents (two longs each) of a broadcast list; more are joined by a shuffle.
 BROADCAST = 200_000
 
@@ -50,12 +52,16 @@ class Filters:
         most = max((len(g) for g in learned.values()), default=1)
         self.bits = 1 << max(10, (SLOTS * most - 1).bit_length())
         self.slots = np.zeros((-(-len(self.langs) // 64), self.bits), dtype=np.uint64)
-        self.thin = False
+        self.usual = dict.fromkeys(self.langs, 0.0)
         for k, lang in enumerate(self.langs):
             self.slots[k // 64][positions(learned[lang], self.bits).ravel()] |= np.uint64(1 << k % 64)
         fill = np.array([((self.slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(self.langs))])
         self.false = np.minimum(fill**HASHES, 0.99)
 
+    def least(self, most: float) -> dict[str, float]:
+        """Coverage asked of a document of each language: `most`, or less where the language's own documents have less. No language's depends on another's."""
+        return {k: min(most, v) for k, v in self.usual.items()}
+
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, its share of all corrected hits, and its corrected hits per n-gram."""
         grams = ngrams(text or "")
@@ -83,6 +89,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     One pass counts the languages and one chooses documents whose hash lies under a threshold that some twice the sample pass, of
     which the smallest hashes are ranked; both carry no texts. Texts of the chosen ones are then fetched by key, and each distinct
     n-gram of a language comes to the driver as a hash and a count. What the driver gets grows with the languages, not with the documents.
+
+    usual: the coverage of a language's sampled documents by the others of them (each one's share of n-grams that some other holds), the
+    quantile ERROR, times 1 - 1 / sqrt(n) for n documents: the fewer there are, the less is asked of a text, and nothing where there is one.
     """
     ship(docs)
     rows = docs.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("_h"))
@@ -101,15 +110,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
             yield pa.RecordBatch.from_arrays([pa.array(d["lang"], b.schema.field(0).type), pa.array(d["_h"], pa.int64()), pa.array(h, pa.list_(pa.int64()))], names=["lang", "_h", "g"])
 
     grams = texts.mapInArrow(cut, StructType([texts.schema["lang"], texts.schema["_h"]]).add("g", ArrayType(LongType())))
-    # Equal rows are one document.
-    seen = grams.select("lang", "_h", F.explode("g").alias("g")).distinct().groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+    # Equal rows are one document. The n-grams of the sample are kept, so that its texts are read once.
+    own = durable(grams.select("lang", "_h", "g").dropDuplicates(["lang", "_h"]))
+    seen = own.select("lang", "_h", F.explode("g").alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("of"))
     learned: dict[str, list] = {r[0]: [] for r in counts.select("_l").collect()}
-    often = dict.fromkeys(learned, 0)
-    for lang, g, n in seen.collect():
+    alone: Counter = Counter()
+    for lang, g, n, of in seen.collect():
         learned[lang].append(g)
-        often[lang] += n > 1
+        if n == 1:
+            alone[lang, of] += 1
     filters = Filters({k: np.array(sorted(g), dtype=np.int64).view(np.uint64) for k, g in learned.items()})
-    filters.thin = any(n < RECURRING for n in often.values())
+    shares = defaultdict(list)
+    for lang, of, n in own.select("lang", "_h", F.size("g")).collect():
+        if n:
+            shares[lang].append(1 - alone[lang, of] / n)
+    for lang, x in shares.items():
+        filters.usual[lang] = float(np.quantile(x, ERROR)) * (1 - len(x) ** -0.5)
     return filters
 
 

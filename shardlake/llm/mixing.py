@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, durable
+from .common import SPACE_WORD, carried, durable
 
 WEIGHTS, SHARE, MAX_REPEAT = (3, 1, 2), 1.5, 2.0
 #: A level splits a bucket in 2**BITS; LEVELS of them tell the hashes of 60 bits apart.
@@ -66,6 +66,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.drop("source_size", "target", "repeats").withColumn("size", size).withColumn("_h", F.conv(F.substring(key, 1, BITS * LEVELS // 4), 16, 10).cast("long"))
 
 
+@carried("doc_id", "text", "source")
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = MAX_REPEAT) -> DataFrame:
     """Add size, source_size, target and repeats (0 up to cap, rounded up) to every document; columns of these names are replaced.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ascii_lower, components, durable, ship
+from .common import ascii_lower, carried, components, durable, ship
 
 DISTANCE, SHINGLE = 4, 4
 #: Fingerprints on which correlations and candidate counts are estimated: they choose the plan, never the result.
@@ -202,11 +202,12 @@ def near_dedup(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return f.join(names, F.col("group") == F.col("_g")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group")
 
 
+@carried("doc_id", "text")
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row of each component: of the smallest doc_id (null last); of several rows, the one with the smallest hash of text, then of all columns.
 
     Fingerprints and choices are made on ids and hashes; texts are shuffled once, to meet the chosen keys. Rows that are
-    equal in all columns count as one. Columns named _key, _row, _d, _k, _r, fp or group are not allowed in docs.
+    equal in all columns count as one.
     """
     whole = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(*whole, F.xxhash64("text").alias("_key"), F.xxhash64(*whole).alias("_row"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import durable, ship
+from .common import carried, durable, ship
 
 #: A run ends with its third sentence or later, once it has 15 words, or with any sentence that brings it to 40.
 SENTENCES, WORDS, LONG = 3, 15, 40
@@ -61,6 +61,7 @@ def spans(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
+@carried("doc_id", "text")
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with repeated runs taken out of text, plus n_sentences and n_removed.
 

@@ -104,3 +104,44 @@ def test_a_large_group_of_near_copies_makes_no_pairs(spark):
     for i, x in enumerate(v):
         groups.setdefault(root(i), []).append(x)
     assert len(got) == 5000 and all(len({got[x] for x in g}) == 1 for g in groups.values()) and len(set(got.values())) == len(groups)
+
+
+PRIVATE = ("_key", "_row", "_d", "_k", "_r", "_cover", "_hits", "_s", "_size", "_h", "_carried", "fp", "group", "_of", "_base", "doc")
+
+
+def test_stages_carry_every_name(spark, tmp_path):
+    """Columns that bear names which operators use inside come through, whatever they hold."""
+    rows = [(k, f"{WORDS} number {k} of {k * k} and more about {k * 7}. " * 3, "en", "ab"[k % 2], 9) for k in range(20)]
+    spark.createDataFrame([(1, "nothing of this is in any text at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = docs(spark, rows).withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) for n in PRIVATE})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, d, str(tmp_path))
+        assert set(d.columns) <= set(got.columns), name
+        seen = got.select("doc_id", *[F.col(f"`{n}`") for n in PRIVATE]).collect()
+        assert seen and all(r[n] == f"{n} {r.doc_id}" for r in seen for n in PRIVATE), name
+
+
+def test_a_rare_language_changes_no_other(spark):
+    """Junk goes with and without three rows of a language that was not there; documents of the others stay or go as before; the rare ones stay."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    r = __import__("random").Random(3)
+    junk = [(10**6 + k, " ".join("".join(r.choices("qxzwvkjy", k=r.randint(3, 9))) for _ in range(60)), None, "a") for k in range(5)]
+    latin = ["gallia est omnis divisa in partes tres quarum unam incolunt belgae", "gallia est divisa et omnis pars quarum incolunt belgae tres", "omnis gallia in partes divisa est quarum tres incolunt belgae"]
+    rare = [(2 * 10**6 + 7 * k, t, "la", "a") for k, t in enumerate(latin)]
+    kind = "doc_id long, text string, lang string, source string"
+    one = {x.doc_id for x in corpus_pipeline.language(spark, base.union(spark.createDataFrame(junk, kind)), "").select("doc_id").collect()}
+    two = {x.doc_id for x in corpus_pipeline.language(spark, base.union(spark.createDataFrame(junk + rare, kind)), "").select("doc_id").collect()}
+    assert not one & {j[0] for j in junk} and len(one) > 800
+    assert two - {x[0] for x in rare} == one and {x[0] for x in rare} <= two
+
+
+def test_benchmark_shards_are_stages_of_their_own(spark, monkeypatch, tmp_path):
+    """However many shards: one Python step of an index a job, and the same answer."""
+    items = [(k, f"which {k} of the {k * k} things is number {k * 31} here? it is {k} and {k * 5}.") for k in range(40)]
+    rows = [(k, f"intro {items[k % 40][1]} and {items[(k * 7) % 40][1]} {WORDS}" if k % 2 else WORDS, "en", "a", 1) for k in range(80)]
+    bench, d = spark.createDataFrame(items, "item_id long, text string"), docs(spark, rows + ROWS)
+    want = by_id(decontam.op10(d, bench), "items")
+    monkeypatch.setattr(decontam, "INDEX", 60)
+    got = decontam.op10(d, bench)
+    assert by_id(got, "items") == want and sum(bool(x[1]) for x in want) >= 40
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
