@@ -19,12 +19,18 @@ COVERAGE = 0.45
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language, by coverage; those without a letter (or null) go. The filters are learned from the other fold.
 
-    If no language was learned, or one too thinly to be told by coverage, all documents with a letter stay.
+    A document must have COVERAGE in its language, or as much as that language's own documents usually have if they have less (langid.fit):
+    each language is judged by itself. Without any n-gram of a learned language it goes, if there is a language of which coverage is asked at all. If no
+    language was learned, all documents with a letter stay.
     """
     filters = langid.fit(docs.filter(~held_out(F.col("doc_id"))))
-    if not filters.langs or filters.thin:
+    if not filters.langs:
         return docs.filter(F.col("text").rlike("\\p{L}"))
-    return langid.identify(docs, filters).filter(F.col("coverage") >= COVERAGE).select(docs.columns)
+    asked = filters.least(COVERAGE)
+    found = F.lit(not any(asked.values())) | (F.col("coverage") > 0)
+    enough = F.col("coverage") >= F.create_map(*[F.lit(x) for kv in asked.items() for x in kv])[F.col("lang_pred")]
+    whole = langid.identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"), filters)
+    return whole.filter((F.col("lang_pred") != "und") & found & enough).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
