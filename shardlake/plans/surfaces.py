@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardlake.operators import geometry, hulls, nearest, surface
+from shardlake.operators import geometry, hulls, nearest, surface, tiles
 from shardlake.plans.analytics import query
 
 
@@ -146,3 +146,47 @@ def surface_sample(t):
 def tiles_spaced(t):
     p = t("part").select("p_partkey", F.col("p_type").alias("image"), (F.col("p_partkey") * 37 % 1000).alias("x"), (F.col("p_size") * 13).alias("y"), "p_size")
     return surface.spaced(p, "p_partkey", ["p_size"], 150).select("image", "p_partkey")
+
+
+def _square(source: str, target: str, k: int, every: bool, size: int) -> str:
+    """SQL of one pass of a k by k window over cells (image, x, y, on): all of them on (outside is nothing), or any."""
+    h = k // 2
+    test = f"count(*) FILTER (n.\"on\") = {k * k}" if every else "coalesce(bool_or(n.\"on\"), false)"
+    return f"{target} AS (SELECT c.image, c.x, c.y, {test} AS \"on\" FROM {source} c JOIN {source} n ON n.image = c.image AND abs(n.x - c.x) <= {h} AND abs(n.y - c.y) <= {h} GROUP BY ALL)"
+
+
+_TEXTURE = """WITH RECURSIVE g AS (SELECT i.image, x.x, y.y FROM (SELECT DISTINCT p_partkey // 400 AS image FROM part) i, (SELECT unnest(range(20)) AS x) x, (SELECT unnest(range(20)) AS y) y),
+p AS (SELECT g.image, g.x, g.y, CASE WHEN p_partkey IS NULL THEN 0 WHEN g.x < 10 THEN CASE WHEN g.x BETWEEN 3 AND 5 AND g.y BETWEEN 8 AND 11 THEN p_size * 5 ELSE g.x * 20 END WHEN g.y < 12 THEN 100 + p_size % 3 ELSE p_size * 5 END AS v, coalesce(p_size % 17 <> 0, false) AS ok
+    FROM g LEFT JOIN part ON p_partkey = g.image * 400 + g.y * 20 + g.x),
+d AS (SELECT unnest(range(-1, 2)) AS d),
+n AS (SELECT p.image, p.x, p.y, i.d AS dx, j.d AS dy, p.x + i.d AS nx, p.y + j.d AS ny FROM p, d i, d j),
+m AS (SELECT image, x, y, dx, dy, CASE WHEN nx < 0 THEN -1 - nx WHEN nx > 19 THEN 39 - nx ELSE nx END AS nx, CASE WHEN ny < 0 THEN -1 - ny WHEN ny > 19 THEN 39 - ny ELSE ny END AS ny FROM n),
+e AS (SELECT m.image, m.x, m.y, sum(q.v * m.dx * (2 - abs(m.dy))) AS gx, sum(q.v * m.dy * (2 - abs(m.dx))) AS gy, 9 * sum(q.v * q.v) - sum(q.v) ** 2 AS spread FROM m JOIN p q ON q.image = m.image AND q.x = m.nx AND q.y = m.ny GROUP BY ALL),
+t AS (SELECT m.image, m.x, m.y, sum(e.gx * e.gx) AS a, sum(e.gy * e.gy) AS b, sum(e.gx * e.gy) AS c FROM m JOIN e ON e.image = m.image AND e.x = m.nx AND e.y = m.ny GROUP BY ALL),
+s0 AS (SELECT t.image, t.x, t.y, a + b > 0 AND sqrt((a - b) ** 2 + 4 * c * c) > 0.65 * (a + b) AND ok AS "on" FROM t JOIN p USING (image, x, y)),
+f0 AS (SELECT e.image, e.x, e.y, spread < 9 * 81 AND ok AS "on" FROM e JOIN p USING (image, x, y)),
+""" + ",\n".join(_square(f"{m}{i}", f"{m}{i + 1}", 3, every, 20) for m in "sf" for i, every in enumerate((True, False, False, True))) + """,
+r AS (SELECT image, x, y FROM s4 WHERE NOT "on" AND (x IN (0, 19) OR y IN (0, 19)) UNION SELECT s4.image, s4.x, s4.y FROM r JOIN s4 ON s4.image = r.image AND abs(s4.x - r.x) + abs(s4.y - r.y) = 1 WHERE NOT s4."on"),
+c AS (SELECT 'smear' AS metric, image, x, y FROM s4 WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.image = s4.image AND r.x = s4.x AND r.y = s4.y) UNION ALL SELECT 'flat', image, x, y FROM f4 WHERE "on"),
+w AS (SELECT metric, image, x, y, y * 20 + x AS start FROM c UNION SELECT c.metric, c.image, c.x, c.y, w.start FROM w JOIN c ON c.metric = w.metric AND c.image = w.image AND abs(c.x - w.x) + abs(c.y - w.y) = 1),
+b AS (SELECT metric, image, x, y, min(start) AS blob FROM w GROUP BY ALL),
+z AS (SELECT b.metric, b.image, blob, count(*) AS n, count(*) FILTER (ok) AS nv FROM b JOIN p USING (image, x, y) GROUP BY ALL),
+o AS (SELECT image, count(*) FILTER (ok) AS valid FROM p GROUP BY 1)
+SELECT o.image, valid, coalesce(sum(nv) FILTER (metric = 'smear'), 0) / valid AS smear, coalesce(sum(nv) FILTER (metric = 'flat'), 0) / valid AS flat FROM o LEFT JOIN z ON z.image = o.image AND n > 0.02 * valid GROUP BY o.image, valid"""
+
+
+@query(_TEXTURE)
+def tiled_textures(t):
+    """An image of 20 by 20 pixels for every 400 parts, cut into tiles of 8: a smeared side with a noisy hole, a flat corner, noise; some pixels are not valid."""
+    n = 400
+    at = F.col("p_partkey") % n
+    x, y, noise = at % 20, F.floor(at / 20), F.col("p_size") * 5
+    value = F.when(x < 10, F.when(x.between(3, 5) & y.between(8, 11), noise).otherwise(x * 20)).when(y < 12, 100 + F.col("p_size") % 3).otherwise(noise)
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    px = t("part").select(F.floor(F.col("p_partkey") / n).alias("image"), at.alias("at"), F.concat(byte(value), byte((F.col("p_size") % 17 != 0).cast("int"))).alias("px"))
+    whole = px.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("at", "px"))).alias("m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit("0000")))
+    whole = whole.select("image", cells.alias("c"))
+    plane = lambda a: F.unhex(F.array_join(F.transform("c", lambda v: F.substring(v, a, 2)), ""))
+    images = whole.select("image", F.lit(20).alias("width"), F.lit(20).alias("height"), plane(1).alias("grey"), plane(3).alias("mask"))
+    return tiles.shares(tiles.tiled(images, "image", 8), "image", 8, (3, 3, 3), (3, 3, 3))
