@@ -22,23 +22,20 @@ def _both(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, (F.coalesce(t, F.lit(False)) for t in tests), F.lit(True))
 
 
-def _any_label(face: Column, names: list[str]) -> Column:
-    return F.arrays_overlap(own_labels(face), F.array(*map(F.lit, names)))
-
-
-def face_test(face: Column, rule: dict, *, exact_label: bool = False, fine: Column | None = None) -> Column:
+def face_test(face: Column, rule: dict, *, exact_label: bool = False, fine: Column | None = None, own: Column | None = None) -> Column:
     """Whether a face meets the bounds a rule states. Null area, RMS or curvature fails its bound; absent reliability is true.
 
-    With exact_label the surface label alone is compared, else the face's whole label set.
+    With exact_label the surface label alone is compared, else the face's whole label set (own, if the caller has it already).
     """
     tests = []
+    any_label = lambda names: F.arrays_overlap(own_labels(face) if own is None else own, F.array(*map(F.lit, names)))
     if rule.get("if_scan_reliable", rule.get("scan_reliable")) is not None:
         tests.append(F.coalesce(face["scan_reliable"], F.lit(True)) == rule.get("if_scan_reliable", rule.get("scan_reliable")))
     names = _labels(rule.get("if_label", rule.get("labels")))
     if names:
-        tests.append(face["surface_label"].isin(names) if exact_label else _any_label(face, names))
+        tests.append(face["surface_label"].isin(names) if exact_label else any_label(names))
     if rule.get("exclude_labels"):
-        tests.append(~_any_label(face, _labels(rule["exclude_labels"])))
+        tests.append(~any_label(_labels(rule["exclude_labels"])))
     if rule.get("requires_anomaly", rule.get("if_anomaly")):
         wanted = rule.get("requires_anomaly", rule.get("if_anomaly"))
         tests.append(F.exists(face["anomalies"], lambda a: a["label"] == wanted))
@@ -98,9 +95,14 @@ def _traced(tests: list[tuple[Column, str, tuple[Column, Column, Column]]]) -> C
 
 def outcome(face: Column, rules: list[dict], key: str, name: str, exact_label: bool = False) -> Column:
     """(value, rule, note, reason) of the first rule that holds for a face; rule reads `name#index` and is null where none holds."""
-    labels = face["surface_label"] if exact_label else F.nullif(F.array_join(F.array_sort(own_labels(face)), ", "), F.lit(""))
     values = {"area": usable_area(face), "rms": face["fit_rms_mm"]}
-    return _traced([(face_test(face, r, exact_label=exact_label), r[key], trace(name, i, r, values, labels)) for i, r in enumerate(rules, 1)])
+
+    def first(own: Column | None) -> Column:
+        labels = face["surface_label"] if own is None else F.nullif(F.array_join(F.array_sort(own), ", "), F.lit(""))
+        return _traced([(face_test(face, r, exact_label=exact_label, own=own), r[key], trace(name, i, r, values, labels)) for i, r in enumerate(rules, 1)])
+
+    # the label set as the variable of a function: it is made once a face
+    return first(None) if exact_label else F.get(F.transform(F.array(own_labels(face)), lambda own: first(own)), F.lit(0))
 
 
 def handling(factor: dict) -> Column:
@@ -157,8 +159,8 @@ def fragment_test(rule: dict) -> Column:
 
 
 def _matching_faces(rule: dict) -> Column:
-    at = F.transform("planarity", lambda f, i: F.struct(i.alias("i"), f.alias("f")))
-    return F.coalesce(F.transform(F.filter(at, lambda x: face_test(x["f"], rule)), lambda x: x["i"]), F.array().cast("array<int>"))
+    at = F.transform("planarity", lambda f, i: F.struct(i.alias("i"), f.alias("f"), own_labels(f).alias("own")))
+    return F.coalesce(F.transform(F.filter(at, lambda x: face_test(x["f"], rule, own=x["own"])), lambda x: x["i"]), F.array().cast("array<int>"))
 
 
 def _matching_regions(rule: dict) -> Column:

@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table in the shared checkpoint folder, whose size is that of its files (a checkpoint's estimate multiplies with every join)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; on one machine a temporary one where none is set."""
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shardlake-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a table in the shared checkpoint folder, whose size is that of its files (a checkpoint's estimate multiplies with every join)."""
+    path = f"{folder(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 

@@ -112,6 +112,14 @@ def apart(new: DataFrame, used: DataFrame, side: int) -> DataFrame:
     return new.join(u, (F.col("image") == F.col("_i")) & (cell("x") == F.col("_cx")) & (cell("y") == F.col("_cy")) & near, "left_anti")
 
 
-def kept_region(region: Column, names: tuple = ("region_id", "kind", "plane_index", "area_frac", "area_m2", "label", "features", "uv_coherence", "uv_fill", "smear_frac", "skipped")) -> Column:
-    """The fields of a region that records keep; others, such as its contiguous area, are left out."""
-    return F.struct(*[region[n].alias(n) for n in names])
+#: The fields of a region that records keep.
+KEPT = (
+    "region_id", "kind", "plane_index", "area_frac", "area_m2", "label", "features", "n_features", "anomalies", "n_label_votes",
+    "uv_coherence", "uv_fill", "smear_frac", "flat_frac", "colour_entropy_bits", "skipped",
+)
+
+
+def kept_region(region: Column, names: tuple = KEPT) -> Column:
+    """The fields of a region that records keep; others, such as its contiguous area, are left out. n_features is counted from the features."""
+    field = lambda n: F.coalesce(region[n], F.nullif(F.size(region["features"]), F.lit(-1))) if n == "n_features" else region[n]
+    return F.struct(*[field(n).alias(n) for n in names])

@@ -19,7 +19,8 @@ planarity ARRAY<STRUCT<normal_xyz: ARRAY<DOUBLE>, area_m2_est: DOUBLE, contiguou
 curvature STRUCT<fine_mm: {_CURVE}, coarse_mm: {_CURVE}>,
 vision STRUCT<labels_present: ARRAY<STRING>, label_coverage: MAP<STRING, INT>, regions: ARRAY<STRUCT<region_id: INT, kind: STRING,
   plane_index: INT, area_frac: DOUBLE, area_m2: DOUBLE, contiguous_area_m2: DOUBLE, label: STRING, features: ARRAY<STRUCT<id: STRING, votes: INT>>,
-  uv_coherence: DOUBLE, uv_fill: DOUBLE, smear_frac: DOUBLE, skipped: STRING>>>,
+  anomalies: ARRAY<STRUCT<label: STRING, box_pct: ARRAY<DOUBLE>>>, n_features: INT, n_label_votes: INT, uv_coherence: DOUBLE, uv_fill: DOUBLE,
+  smear_frac: DOUBLE, flat_frac: DOUBLE, colour_entropy_bits: DOUBLE, skipped: STRING>>>,
 scan_coverage STRUCT<has_unscanned_face: BOOLEAN, unscanned_avg_normal: ARRAY<DOUBLE>>,
 procedural STRUCT<handling_class: {_OUTCOME}, drill_zone: STRUCT<value: STRING, rule: STRING, reason: STRING, data_status: STRING, clear_core_mm_est: DOUBLE,
     cover_mm_assumed: DOUBLE, entry_faces: ARRAY<INT>>,
