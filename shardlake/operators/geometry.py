@@ -162,9 +162,9 @@ def roughness(points: DataFrame, key: str, radius: float, least: int = 3) -> Dat
 
 
 def summary(df: DataFrame, key: str, value: str) -> DataFrame:
-    """mean, population deviation and quartiles (linear) of a value; keys without a value have nulls."""
+    """mean, population deviation, quartiles (linear) and root mean square of a value; keys without a value have nulls."""
     v = F.col(value)
-    return df.groupBy(key).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75"))
+    return df.groupBy(key).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75"), F.sqrt(F.avg(v * v)).alias("rms"))
 
 
 def weld(vertices: DataFrame, tri: DataFrame, key: str, tolerance: float) -> DataFrame:

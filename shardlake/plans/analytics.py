@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shardlake.operators import graph, rules, votes
+from shardlake.operators import geometry, graph, rules, votes
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -74,8 +74,7 @@ def entropy(t):
 @query("""SELECT event_type, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
     round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY 1""")
 def percentile_summary(t):
-    v = F.col("value")
-    return t("events").groupBy("event_type").agg(F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.sqrt(F.avg(v * v)), 6).alias("rms"))
+    return geometry.summary(t("events"), "event_type", "value").select("event_type", "p25", "p75", *[F.round(c, 6).alias(c) for c in ("mean", "std", "rms")])
 
 
 @query("""SELECT event_id, CASE WHEN value < 25 THEN 'smooth' WHEN value < 45 THEN 'medium' WHEN value < 65 THEN 'rough' ELSE 'very_rough' END AS bucket FROM events WHERE value IS NOT NULL""")

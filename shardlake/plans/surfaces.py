@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardlake.operators import geometry, hulls, nearest, surface, tiles
+from shardlake.operators import describe, geometry, hulls, nearest, surface, tiles
 from shardlake.plans.analytics import query
 
 
@@ -190,3 +190,25 @@ def tiled_textures(t):
     plane = lambda a: F.unhex(F.array_join(F.transform("c", lambda v: F.substring(v, a, 2)), ""))
     images = whole.select("image", F.lit(20).alias("width"), F.lit(20).alias("height"), plane(1).alias("grey"), plane(3).alias("mask"))
     return tiles.shares(tiles.tiled(images, "image", 8), "image", 8, (3, 3, 3), (3, 3, 3))
+
+
+_CORNERS = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+_SIDES = [(0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5)]
+
+
+@query("""SELECT p_partkey::VARCHAR AS fragment_id, CASE WHEN p_partkey % 3 = 0 THEN 'convex_hull' ELSE 'mesh' END AS source, (60 + p_size)::DOUBLE AS long, (30 + p_partkey % 20)::DOUBLE AS wide, (5 + p_partkey % 7)::DOUBLE AS thin,
+    ((60 + p_size) * (30 + p_partkey % 20) * (5 + p_partkey % 7))::DOUBLE AS volume, CASE WHEN p_partkey % 3 <> 0 THEN 1.0::DOUBLE END AS convexity FROM part""")
+def described_meshes(t):
+    """A turned box a part, from its twelve triangles to a record; every third one lacks a triangle and runs another the wrong way round."""
+    side = t("part").select("p_partkey", *[c.cast("double").alias(n) for n, c in (("a", 60 + F.col("p_size")), ("b", 30 + F.col("p_partkey") % 20), ("c", 5 + F.col("p_partkey") % 7), ("angle", F.col("p_partkey") / 10))])
+    place = lambda v: F.array(*_turned(*[F.col(n) * v[k] for k, n in enumerate("abc")], F.col("angle")))
+    faces = F.explode(F.array(*[F.struct(F.lit(n).alias("face"), *[F.lit(v).alias(c) for c, v in zip("ijk", s)]) for n, s in enumerate(_SIDES)]))
+    corners = side.select("p_partkey", F.explode(F.array(F.array(*[place(v) for v in _CORNERS]))).alias("p"))  # one row, made once
+    tri = corners.select("p_partkey", "p", faces.alias("f")).select("p_partkey", "p", "f.*")
+    broken = F.col("p_partkey") % 3 == 0
+    turn = broken & (F.col("face") == 4)
+    tri = tri.filter(~(broken & (F.col("face") == 6))).select("p_partkey", "p", "face", "i", F.when(turn, F.col("k")).otherwise(F.col("j")).alias("j"), F.when(turn, F.col("j")).otherwise(F.col("k")).alias("k"))
+    tri = tri.select("p_partkey", "face", *[F.get("p", F.col(n)).alias(c) for c, n in zip("abc", "ijk")], "i", "j", "k")
+    got = describe.records(describe.mesh_bounds(tri, "p_partkey"), key="p_partkey")
+    dims = [F.col("bounding.obb_dims_mm")[k].alias(n) for k, n in enumerate(("long", "wide", "thin"))]
+    return got.select("fragment_id", F.col("bounding.volume_source").alias("source"), *dims, F.col("bounding.volume_mm3").alias("volume"), F.col("bounding.convexity").alias("convexity"))

@@ -479,11 +479,11 @@ def centred(t):
 
 # ---- pixels
 
-@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_returnflag AS mask, l_partkey % 6 AS x, (l_suppkey + l_linenumber) % 5 AS y FROM lineitem WHERE l_quantity = 7 AND l_tax > 0.06 AND l_discount < 0.02),
-    r AS (SELECT mask, x, y, x AS u, y AS v FROM p UNION SELECT r.mask, r.x, r.y, p.x, p.y FROM r JOIN p ON r.mask = p.mask AND abs(r.u - p.x) + abs(r.v - p.y) = 1), c AS (SELECT mask, x, y, min(v * 10 + u) AS blob FROM r GROUP BY 1, 2, 3),
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS mask, l_partkey % 40 AS x, (l_orderkey + l_linenumber) % 40 AS y FROM lineitem),
+    r AS (SELECT mask, x, y, x AS u, y AS v FROM p UNION SELECT r.mask, r.x, r.y, p.x, p.y FROM r JOIN p ON r.mask = p.mask AND abs(r.u - p.x) + abs(r.v - p.y) = 1), c AS (SELECT mask, x, y, min(v * 40 + u) AS blob FROM r GROUP BY 1, 2, 3),
     k AS (SELECT mask, blob, count(*) AS n FROM c GROUP BY 1, 2) SELECT mask, sum(n)::BIGINT AS pixels, max(n) / sum(n) AS coherence FROM k GROUP BY 1""")
 def uv_coherence(t):
-    p = t("lineitem").filter("l_quantity = 7 and l_tax > 0.06 and l_discount < 0.02").select(F.col("l_returnflag").alias("mask"), (F.col("l_partkey") % 6).alias("x"), ((F.col("l_suppkey") + F.col("l_linenumber")) % 5).alias("y"))
+    p = t("lineitem").select(F.col("l_suppkey").alias("mask"), (F.col("l_partkey") % 40).alias("x"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 40).alias("y"))
     return raster.coherence(p, "mask")
 
 
