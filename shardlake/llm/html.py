@@ -16,6 +16,8 @@ from .common import ship
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = set("script style noscript template title svg select textarea button option iframe object".split())
+#: Silent elements that hold whole blocks: one inside them ends none outside.
+WHOLE = set("noscript template object iframe".split())
 INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 AROUND = set("nav footer aside form menu dialog".split())
 #: Elements at whose start an open paragraph ends.
@@ -55,7 +57,8 @@ def marks(values: list[str]) -> bool:
 class Blocks(HTMLParser):
     """Text blocks in page order, each with its text, linked characters and innermost element that is not inline.
 
-    The cost of a tag does not grow with the page: of open inline elements only counts are kept.
+    Elements without text of their own (scripts, pictures, controls, other void ones but a rule) are passed over and end no block. The cost of a
+    tag does not grow with the page: of open inline elements only counts are kept.
     """
 
     def __init__(self):
@@ -95,15 +98,18 @@ class Blocks(HTMLParser):
             elif tag not in VOID and tag == "a":
                 self.open["a"] = self.open.get("a", 0) + 1
             return
-        self.flush()
         if tag in VOID:
+            if tag == "hr" and not self.silent:
+                self.flush()
             return
-        if tag in FLOW and self.open.get("p") and (p := self._inside("p", FLOW - {"p"})):
+        if tag in FLOW and self.open.get("p") and (p := self._inside("p", FLOW - {"p"} | WHOLE)):
             self._close(p)
         if tag == "li" and self.open.get("li") and (li := self._inside("li", {"ul", "ol", "menu"})):
             self._close(li)
         if (tag == "body" or tag in FLOW) and self.open.get("head") and (h := self._inside("head", set())):
             self._close(h)
+        if not self.silent and tag not in SILENT:
+            self.flush()
         d = {k: v or "" for k, v in attrs}
         hidden = "hidden" in d or "display:none" in d.get("style", "").replace(" ", "").lower()
         marked = tag not in ("html", "body") and marks([d.get(k, "") for k in ("class", "id", "role")])
@@ -125,9 +131,10 @@ class Blocks(HTMLParser):
             if tag == "a" and self.open.get("a"):
                 self.open["a"] -= 1
             return
-        self.flush()
         if self.open.get(tag) and (n := self._inside(tag, set())):
             self._close(n)
+        if not self.silent and tag not in SILENT:
+            self.flush()
 
     def handle_data(self, data):
         if self.silent > 0:

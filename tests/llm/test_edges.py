@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shardlake.llm import chat, decontam, langid, license, mixing, quality, simhash, substring
+from shardlake.llm import chat, decontam, html, langid, license, mixing, quality, simhash, substring
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the quick brown fox jumps over the lazy dog and then runs away from the old farm house"
@@ -145,3 +145,14 @@ def test_benchmark_shards_are_stages_of_their_own(spark, monkeypatch, tmp_path):
     got = decontam.op10(d, bench)
     assert by_id(got, "items") == want and sum(bool(x[1]) for x in want) >= 40
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
+
+
+@pytest.mark.parametrize("inner", ["<script>var x = '<p>';</script>", "<svg><g><text>no</text></g></svg>", "<button>Buy <b>now</b></button>", "<select><option>a<option>b</select>", "<input name=q>", "<noscript><p>no</p></noscript>", "<style>p {}</style>", "<img src=a><wbr>"])
+def test_elements_without_text_cut_no_block(inner):
+    blocks, _ = html.parse(f"<article><p>First words {inner}second words</p><p>Then</p></article>")
+    assert [b[0] for b in blocks] == ["First words second words", "Then"]
+
+
+def test_open_elements_end_with_their_block():
+    blocks, _ = html.parse("<article><p>one <button>never shut<p>two<hr>three</article><div>four <svg><g></div>five")
+    assert [b[0] for b in blocks] == ["one", "two", "three", "four", "five"]
