@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from contextlib import suppress
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +21,27 @@ def folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _sweep(spark: SparkSession, paths: set[str]) -> None:
+    """Remove the tables that are left when the application ends: nothing can read them any more."""
+    with suppress(Exception):  # the JVM may be gone
+        for path in paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+def own(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes when the application ends."""
+    path, sc = f"{folder(spark)}/{name}-{uuid4().hex}", spark.sparkContext
+    if not hasattr(sc, "_shardlake_paths"):
+        sc._shardlake_paths = set()
+        atexit.register(_sweep, spark, sc._shardlake_paths)
+    sc._shardlake_paths.add(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a table in the shared checkpoint folder, whose size is that of its files (a checkpoint's estimate multiplies with every join)."""
-    path = f"{folder(df.sparkSession)}/table-{uuid4().hex}"
+    path = own(df.sparkSession, "table")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
@@ -32,6 +52,7 @@ def drop(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        t.sparkSession.sparkContext._shardlake_paths.discard(t._cut_path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardlake.operators import design, geometry, views
-from shardlake.operators.graph import folder
+from shardlake.operators.graph import own
 from shardlake.plans.analytics import query
 from shardlake.plans.records import _BASE, _REGIONS, _USES, RULES, records, with_regions
 from shardlake.sources.refresh import refresh
@@ -78,7 +76,7 @@ def kept_regions(t):
 def refresh_changed(t):
     """A store of all records, brought up to records of which some have lost their mass and others are gone."""
     r = records(t)
-    store = f"{folder(r.sparkSession)}/store-{uuid4().hex}"
+    store = own(r.sparkSession, "store")
     derive = lambda rows, rules: design.derive(rows, rules, only=("handling_class", "use_suggestions"))
     refresh(r, store, RULES, derive)
     number = F.col("fragment_id").cast("long")

@@ -94,6 +94,10 @@ def parse_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
     points, faces = np.zeros((0, 3)), []
     for name, count, fields in elements:
+        if name == "face" and order and (three := _triangles(body, at, order, count, fields)) is not None:
+            faces.append(three[0])
+            at += three[1]
+            continue
         plain = [f for f in fields if f[0] != "list"]
         if order and len(plain) == len(fields):  # rows of one size are read at once
             kind = np.dtype([(f[1], order + PLY[f[0]]) for f in fields])
@@ -104,10 +108,22 @@ def parse_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         if name == "vertex":
             points = np.column_stack([[float(r[c]) for r in rows] if isinstance(rows, list) else rows[c].astype(float) for c in "xyz"]).reshape(-1, 3)
         elif name == "face":
+            fan = []
             for r in rows:
                 v = [int(x) for x in next(iter(x for x in r.values() if isinstance(x, list)))]
-                faces += [(v[0], v[n], v[n + 1]) for n in range(1, len(v) - 1)]
-    return points, np.array(faces, dtype=np.int64).reshape(-1, 3)
+                fan += [(v[0], v[n], v[n + 1]) for n in range(1, len(v) - 1)]
+            faces.append(np.array(fan, dtype=np.int64).reshape(-1, 3))
+    return points, np.concatenate([np.zeros((0, 3), np.int64), *faces])
+
+
+def _triangles(body: bytes, at: int, order: str, count: int, fields: list) -> tuple[np.ndarray, int] | None:
+    """(corners, bytes) of binary faces that are all triangles, read as one array; None if one has another number of corners, or the file ends before."""
+    kind = np.dtype([x for f in fields for x in ([(f"n {f[3]}", order + PLY[f[1]]), (f[3], order + PLY[f[2]], 3)] if f[0] == "list" else [(f[1], order + PLY[f[0]])])])
+    lists = [f[3] for f in fields if f[0] == "list"]
+    if not lists or at + kind.itemsize * count > len(body):
+        return None
+    rows = np.frombuffer(body, kind, count, at)
+    return (rows[lists[0]].astype(np.int64), kind.itemsize * count) if all((rows[f"n {n}"] == 3).all() for n in lists) else None
 
 
 def _parsed(name: str, data: bytes) -> tuple | None:

@@ -114,3 +114,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(tmp_path), "--label", "none"], spark) == 0 and "(none)" in capsys.readouterr().out
     assert main([str(tmp_path), "--use", "boat"], spark) == 2 and main([str(tmp_path), "--rank", "colour"], spark) == 2
     assert main([str(tmp_path), "--list-uses"], spark) == 0 and "(none)" in capsys.readouterr().out
+
+
+def test_binary_faces_are_read_at_once():
+    """Triangles as one array, other polygons one by one, with further properties beside the corners; a million faces in seconds."""
+    import struct
+    import time
+
+    import numpy as np
+
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex 5\nproperty float x\nproperty float y\nproperty float z\nelement face {n}\nproperty list uchar int vertex_indices\nproperty uchar flag\nend_header\n"
+    points = np.arange(15, dtype="<f4").reshape(5, 3)
+    three = b"".join(struct.pack("<BiiiB", 3, *f, 7) for f in ((0, 1, 2), (2, 3, 4)))
+    mixed = three + struct.pack("<BiiiiB", 4, 0, 1, 2, 3, 7)
+    for n, body, want in ((2, three, [[0, 1, 2], [2, 3, 4]]), (3, mixed, [[0, 1, 2], [2, 3, 4], [0, 1, 2], [0, 2, 3]])):
+        p, f = mesh.parse_ply(head.format(n=n).encode() + points.tobytes() + body)
+        assert p.tolist() == points.tolist() and f.tolist() == want
+    many = np.zeros(1_000_000, np.dtype([("n", "u1"), ("v", "<i4", 3), ("flag", "u1")]))
+    many["n"], many["v"] = 3, [0, 1, 2]
+    began = time.time()
+    assert mesh.parse_ply(head.format(n=1_000_000).encode() + points.tobytes() + many.tobytes())[1].shape == (1_000_000, 3) and time.time() - began < 5
