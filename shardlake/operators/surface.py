@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,31 +148,83 @@ def boundary_loops(tri: DataFrame, key: str) -> DataFrame:
     return chain.join(names, [key, "loop"]).select(key, F.col("_loop").cast("long").alias("loop"), (F.col("_n") - 1 - F.col("left")).alias("place"), F.col("edge.p").alias("vertex"))
 
 
-def spaced(tiles: DataFrame, key: str, order: list[str], side: int) -> DataFrame:
-    """Tiles (key, image, x, y) that one after another, in the order given, overlap none taken before in their image: squares of one side.
+def _overlaps(side: Column) -> Column:
+    return (F.abs(F.col("x") - F.col("_x")) < side) & (F.abs(F.col("y") - F.col("_y")) < side)
+
+
+def _dealt(tiles: DataFrame, side: Column) -> DataFrame:
+    """Tiles (image, x, y and others) once for each of the nine cells around their own, as _x and _y."""
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    cells = {f"c{n}": F.floor(F.col(n) / side) + F.col(f"s.{k}") for n, k in (("x", "a"), ("y", "b"))}
+    return tiles.select("*", near.alias("s")).withColumns(cells).drop("s").withColumnsRenamed({"x": "_x", "y": "_y"})
+
+
+def spaced(tiles: DataFrame, key: str, order: list[str], side: int | str) -> DataFrame:
+    """Tiles (key, image, x, y) that one after another, in the order given, lie less than a side from none taken before in their image, both ways.
 
     The same as the loop, in rounds: a tile is taken once no open tile before it overlaps it, and what it overlaps goes. Tiles meet by cells of the side's
-    width. Keys are unique; a round takes at least the first open tile of each image. Null images, places or orders take no part.
+    width, which is a number or a column that is the same all over an image. Keys are unique; a round takes at least the first open tile of each image. Null images,
+    places or orders take no part.
     """
-    rank = F.struct(*order, key)
-    t = tiles.dropna(subset=[key, "image", "x", "y", *order]).select(key, "image", "x", "y", rank.alias("rank"))
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    cell = lambda c: F.floor(F.col(c) / side)
-    after = t.select("image", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("rank").alias("_rank"), F.col(key).alias("late"), near.alias("s")).withColumns({"cx": cell("_x") + F.col("s.a"), "cy": cell("_y") + F.col("s.b")})
-    before = t.select("image", "x", "y", "rank", F.col(key).alias("early"), cell("x").alias("cx"), cell("y").alias("cy"))
-    meet = before.join(after, ["image", "cx", "cy"]).filter((F.abs(F.col("x") - F.col("_x")) < side) & (F.abs(F.col("y") - F.col("_y")) < side) & (F.col("rank") < F.col("_rank")))
-    pairs, open_, taken = cut(meet.select("early", "late")), cut(t.select(key)), []
+    wide = F.col("_side")
+    t = tiles.dropna(subset=[key, "image", "x", "y", *order]).select(F.col(key).alias("_key"), "image", "x", "y", F.struct(*order, key).alias("rank"), (F.col(side) if isinstance(side, str) else F.lit(side)).alias("_side"))
+    after = _dealt(t.select("image", "x", "y", "_side", F.col("rank").alias("_rank"), F.col("_key").alias("late")), wide).drop("_side")
+    before = t.withColumns({f"c{n}": F.floor(F.col(n) / wide) for n in "xy"})
+    meet = before.join(after, ["image", "cx", "cy"]).filter(_overlaps(wide) & (F.col("rank") < F.col("_rank")))
+    pairs, open_, taken = cut(meet.select(F.col("_key").alias("early"), "late")), cut(t.select("_key")), []
     while not open_.isEmpty():
-        free = cut(open_.join(pairs.select(F.col("late").alias(key)), key, "left_anti"))
-        gone = pairs.join(free.select(F.col(key).alias("early")), "early", "left_semi").select(F.col("late").alias(key)).distinct()
-        gone = cut(gone)
-        rest = cut(open_.join(free, key, "left_anti").join(gone, key, "left_anti"))
-        left = cut(pairs.join(rest.select(F.col(key).alias("early")), "early", "left_semi").join(rest.select(F.col(key).alias("late")), "late", "left_semi"))
+        free = cut(open_.join(pairs.select(F.col("late").alias("_key")), "_key", "left_anti"))
+        gone = cut(pairs.join(free.select(F.col("_key").alias("early")), "early", "left_semi").select(F.col("late").alias("_key")).distinct())
+        rest = cut(open_.join(free, "_key", "left_anti").join(gone, "_key", "left_anti"))
+        left = cut(pairs.join(rest.select(F.col("_key").alias("early")), "early", "left_semi").join(rest.select(F.col("_key").alias("late")), "late", "left_semi"))
         drop(open_, gone, pairs)
         taken.append(free)
         open_, pairs = rest, left
     drop(pairs)
-    out = taken[0] if taken else t.select(key).limit(0)
+    out = taken[0] if taken else t.select("_key").limit(0)
     for f in taken[1:]:
         out = out.unionByName(f)
-    return tiles.join(out, key, "left_semi")
+    return tiles.join(out, F.col(key) == F.col("_key"), "left_semi")
+
+
+def candidates(images: DataFrame, tries: int, mm: float, least: int, most: int, lit: int = 18, seed: int = 0) -> DataFrame:
+    """(image, at, x, y, side, share) of `tries` squares an image, numbered from 0: where they lie comes from digests, share is the part of their pixels brighter than `lit`.
+
+    images: image, width, height, density (pixels a mm; null counts as 1.5), bright (brightest channel by rows, binary). A side is mm times the
+    density, held to least and most. Images no larger than a side, or whose pixels do not fit their size, give none. A task holds one image.
+    """
+    kind = images.schema["image"].dataType.simpleString()
+    side = F.floor(F.least(F.greatest(F.coalesce("density", F.lit(1.5)) * mm, F.lit(least)), F.lit(most))).cast("int")
+    ready = images.withColumn("side", side).filter((F.col("width") > F.col("side")) & (F.col("height") > F.col("side")) & (F.octet_length("bright") == F.col("width").cast("long") * F.col("height")))
+    draw = lambda axis, at: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("image").cast("string"), at.cast("string"), F.lit(f"{seed}{axis}")).cast("binary")), 1, 8), 16, 10).cast("long")
+    place = lambda at: F.struct(at.alias("at"), (draw("x", at) % (F.col("width") - F.col("side"))).cast("int").alias("x"), (draw("y", at) % (F.col("height") - F.col("side"))).cast("int").alias("y"))
+    ready = ready.withColumn("places", F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), place))
+
+    def measure(frames):
+        for f in frames:
+            out = []
+            for image, w, h, n, bright, places in zip(f["image"], f["width"], f["height"], f["side"], f["bright"], f["places"]):
+                on = (np.frombuffer(bright, np.uint8).reshape(int(h), int(w)) > lit).astype(np.int64)
+                sums = np.pad(on.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+                x, y = np.array([p["x"] for p in places]), np.array([p["y"] for p in places])
+                share = (sums[y + n, x + n] - sums[y, x + n] - sums[y + n, x] + sums[y, x]) / (n * n)
+                out.append(pd.DataFrame({"image": image, "at": [p["at"] for p in places], "x": x, "y": y, "side": n, "share": share}))
+            yield pd.concat(out) if out else pd.DataFrame(columns=["image", "at", "x", "y", "side", "share"])
+
+    return ready.select("image", "width", "height", "side", "bright", "places").mapInPandas(measure, f"image {kind}, at int, x int, y int, side int, share double")
+
+
+def label_tiles(found: DataFrame, n: int, used: DataFrame | None = None, least: float = 0.9) -> DataFrame:
+    """Of candidates the n first of each image that are lit enough, share no pixel with a used one (image, x, y) and lie half a side from those before."""
+    t = found.filter(F.col("share") >= least)
+    if used is not None:
+        wide = found.select("image", "side").distinct()
+        old = _dealt(used.select("image", "x", "y").join(wide, "image"), F.col("side")).drop("side")
+        cell = {f"c{c}": F.floor(F.col(c) / F.col("side")) for c in "xy"}
+        here = t.withColumns(cell).alias("t")
+        same = [F.col(f"t.{c}") == F.col(f"u.{c}") for c in ("image", "cx", "cy")]
+        t = here.join(old.alias("u"), same[0] & same[1] & same[2] & _overlaps(F.col("side")), "left_anti").drop("cx", "cy")
+    t = t.withColumns({"half": F.floor(F.col("side") / 2), "tile": F.struct("image", "at")})
+    kept = spaced(t, "tile", ["at"], "half")
+    first = F.row_number().over(Window.partitionBy("image").orderBy("at"))
+    return kept.withColumn("_n", first).filter(F.col("_n") <= n).drop("_n", "half", "tile")

@@ -212,3 +212,25 @@ def described_meshes(t):
     got = describe.records(describe.mesh_bounds(tri, "p_partkey"), key="p_partkey")
     dims = [F.col("bounding.obb_dims_mm")[k].alias(n) for k, n in enumerate(("long", "wide", "thin"))]
     return got.select("fragment_id", F.col("bounding.volume_source").alias("source"), *dims, F.col("bounding.volume_mm3").alias("volume"), F.col("bounding.convexity").alias("convexity"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT DISTINCT p_partkey // 400 AS image FROM part), k AS (SELECT unnest(range(60)) AS no),
+    c AS (SELECT image, no, ('0x' || substr(md5(image || ':' || no || ':0x'), 1, 8))::BIGINT % 14 AS x, ('0x' || substr(md5(image || ':' || no || ':0y'), 1, 8))::BIGINT % 14 AS y FROM i, k),
+    d AS (SELECT c.image, no, x, y, count(*) FILTER (p_size > 6) / 36 AS share FROM c LEFT JOIN part ON p_partkey // 400 = c.image AND p_partkey % 20 BETWEEN x AND x + 5 AND p_partkey % 400 // 20 BETWEEN y AND y + 5 GROUP BY ALL),
+    u AS (SELECT s_suppkey % 5 AS image, s_suppkey * 7 % 20 AS x, s_suppkey * 3 % 20 AS y FROM supplier WHERE s_suppkey % 20 = 1),
+    f AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY no) AS n FROM d WHERE share >= 0.8 AND NOT EXISTS (SELECT 1 FROM u WHERE u.image = d.image AND abs(u.x - d.x) < 6 AND abs(u.y - d.y) < 6)),
+    g AS (SELECT image, 0::BIGINT AS n, []::STRUCT(a BIGINT, x BIGINT, y BIGINT)[] AS taken FROM f GROUP BY 1
+        UNION ALL SELECT f.image, f.n, CASE WHEN len(g.taken) < 5 AND len(list_filter(g.taken, lambda s: abs(s.x - f.x) < 3 AND abs(s.y - f.y) < 3)) = 0 THEN list_append(g.taken, {'a': f.no, 'x': f.x, 'y': f.y}) ELSE g.taken END FROM g JOIN f ON f.image = g.image AND f.n = g.n + 1),
+    e AS (SELECT image, unnest(taken, recursive := true) FROM (SELECT image, taken FROM g QUALIFY row_number() OVER (PARTITION BY image ORDER BY n DESC) = 1))
+    SELECT image, a AS tile, x, y FROM e""")
+def label_tiles(t):
+    """Sixty squares of six pixels on images of 20 by 20, 400 parts each; the first five that are lit, unused and apart. Used places are suppliers."""
+    at = F.col("p_partkey") % 400
+    px = t("part").select(F.floor(F.col("p_partkey") / 400).alias("image"), at.alias("at"), F.when(F.col("p_size") > 6, "ff").otherwise("00").alias("px"))
+    m = px.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("at", "px"))).alias("m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit("00")))
+    images = m.select("image", F.lit(20).alias("width"), F.lit(20).alias("height"), F.lit(0.5).alias("density"), F.unhex(F.array_join(cells, "")).alias("bright"))
+    k = F.col("s_suppkey")
+    used = t("supplier").filter(k % 20 == 1).select((k % 5).alias("image"), (k * 7 % 20).alias("x"), (k * 3 % 20).alias("y"))
+    got = surface.label_tiles(surface.candidates(images, 60, 12.0, 4, 10), 5, used, 0.8)
+    return got.select("image", *[F.col(c).cast("long").alias(n) for c, n in (("at", "tile"), ("x", "x"), ("y", "y"))])

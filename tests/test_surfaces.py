@@ -177,3 +177,24 @@ def test_spacing_is_the_loop(spark):
             taken.append((k, image, x, y))
     assert sorted(v.k for v in surface.spaced(t, "k", ["p"], 60).collect()) == sorted(v[0] for v in taken)
     assert surface.spaced(t.limit(0), "k", ["p"], 60).count() == 0
+
+
+def test_label_tiles(spark):
+    """Lit enough, no pixel shared with used ones, half a side apart, the first n by number; sides follow the density; images that are too small or odd give none."""
+    r = np.random.default_rng(1)
+    a, b = (r.random((90, 70)) < 0.97).astype(np.uint8) * 200, np.zeros((60, 60), np.uint8)
+    a[:, :20] = 0
+    rows = [("a", 70, 90, 2.0, bytearray(a.tobytes())), ("dark", 60, 60, 1.0, bytearray(b.tobytes())), ("small", 5, 5, 1.0, bytearray(25)), ("odd", 9, 90, 1.0, bytearray(3)), ("null", None, 60, None, None)]
+    images = spark.createDataFrame(rows, "image string, width int, height int, density double, bright binary")
+    found = surface.candidates(images, 300, 8.0, 6, 40)
+    seen = found.collect()
+    assert {x.image for x in seen} == {"a", "dark"} and {x.side for x in seen if x.image == "a"} == {16} and {x.share for x in seen if x.image == "dark"} == {0.0}
+    assert all(math.isclose(x.share, (a[x.y : x.y + 16, x.x : x.x + 16] > 18).mean()) for x in seen if x.image == "a")
+    used = spark.createDataFrame([("a", 30, 40), ("other", 1, 1)], "image string, x int, y int")
+    got = sorted((x.at, x.x, x.y) for x in surface.label_tiles(found, 6, used).collect())
+    want: list = []
+    for x in sorted((x for x in seen if x.image == "a" and x.share >= 0.9), key=lambda x: x.at):
+        if len(want) < 6 and not (abs(x.x - 30) < 16 and abs(x.y - 40) < 16) and all(abs(x.x - p) >= 8 or abs(x.y - q) >= 8 for _, p, q in want):
+            want.append((x.at, x.x, x.y))
+    assert got == want and len(want) == 6
+    assert surface.label_tiles(surface.candidates(images.limit(0), 10, 8.0, 6, 40), 6).count() == 0
