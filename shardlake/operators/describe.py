@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shardlake.operators import geometry, hulls, kernels, surface
+from shardlake.operators import geometry, hulls, planesearch, surface
 from shardlake.sources.records import SCHEMA
 
 #: Places nearer than this, in the meshes' unit, are one vertex; points that the plane search gets of a mesh.
@@ -56,8 +56,8 @@ def cloud_bounds(points: DataFrame, key: str) -> DataFrame:
 def planes(points: DataFrame, key: str) -> DataFrame:
     """key and planarity: the planes of each cloud (key, id, x, y, z), the largest hull first."""
     kind = _kind()["planarity"].dataType.elementType
-    p = kernels.planes(points, key)
-    one = _struct(kind, {"normal_xyz": F.col("normal"), "area_m2_est": F.round("area_m2", 4), "fit_rms_mm": F.round("rms_mm", 3)})
+    p = planesearch.search(points, key)
+    one = _struct(kind, {"normal_xyz": F.col("normal"), "area_m2_est": F.round(F.col("area") * 1e-6, 4), "fit_rms_mm": F.round("rms", 3)})
     listed = F.transform(F.array_sort(F.collect_list(F.struct("plane", one.alias("p")))), lambda x: x["p"])
     return p.groupBy(key).agg(listed.alias("planarity")).withColumn("planarity", geometry.sorted_planes(F.col("planarity")))
 

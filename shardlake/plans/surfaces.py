@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardlake.operators import describe, geometry, hulls, nearest, surface, tiles
+from shardlake.operators import describe, geometry, hulls, nearest, planesearch, surface, tiles
 from shardlake.plans.analytics import query
 
 
@@ -234,3 +234,13 @@ def label_tiles(t):
     used = t("supplier").filter(k % 20 == 1).select((k % 5).alias("image"), (k * 7 % 20).alias("x"), (k * 3 % 20).alias("y"))
     got = surface.label_tiles(surface.candidates(images, 60, 12.0, 4, 10), 5, used, 0.8)
     return got.select("image", *[F.col(c).cast("long").alias(n) for c, n in (("at", "tile"), ("x", "x"), ("y", "y"))])
+
+
+@query("""WITH p AS (SELECT l_suppkey, CASE WHEN l_quantity <= 25 THEN 50 WHEN l_quantity <= 40 THEN 150 ELSE 300 END AS level FROM lineitem)
+    SELECT l_suppkey, level, inliers, round(inliers / sum(inliers) OVER (PARTITION BY l_suppkey), 6) AS fraction FROM (SELECT l_suppkey, level, count(*) AS inliers FROM p GROUP BY 1, 2)""")
+def planes_of_clouds(t):
+    """A cloud a supplier, its lines on three levels."""
+    q = F.col("l_quantity")
+    p = t("lineitem").select("l_suppkey", F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 200 * 10).alias("x"), (F.col("l_orderkey") % 300 * 10).alias("y"), F.when(q <= 25, 50).when(q <= 40, 150).otherwise(300).alias("z"))
+    got = planesearch.search(p, "l_suppkey", 60)
+    return got.select("l_suppkey", F.round(F.abs("d")).cast("int").alias("level"), "inliers", F.round("fraction", 6).alias("fraction"))
