@@ -29,8 +29,8 @@ def _box(df: DataFrame) -> Column:
     return _struct(_kind()["bounding"].dataType, fields)
 
 
-def mesh_bounds(tri: DataFrame, key: str) -> DataFrame:
-    """key and bounding of meshes of triangles (key, a, b, c with vertex numbers i, j, k): hull, oriented box, volume by the ladder of sources, mass.
+def mesh_sums(tri: DataFrame, key: str) -> DataFrame:
+    """key, volume, watertight, consistent, hull_points, hull_volume, obb_dims_mm and obb_axes_xyz of meshes of triangles (key, a, b, c with vertex numbers i, j, k).
 
     Vertices at one place (to WELD) are one before it is judged whether a mesh is closed, as exports split them along seams. A mesh is never one task: its
     sums are aggregates, its hull is merged from parts. Triangles with a null corner take no part.
@@ -40,8 +40,12 @@ def mesh_bounds(tri: DataFrame, key: str) -> DataFrame:
     points = corner.select(key, F.col("v.id").alias("id"), *[F.col("v.p")[n].cast("double").alias(x) for n, x in enumerate("xyz")]).distinct()
     welded = geometry.weld(points, whole.select(key, "i", "j", "k"), key, WELD)
     sums = geometry.totals(whole, key).select(key, "volume").join(geometry.closed(welded, key), key, "left").join(hulls.bounding_boxes(points, key), key)
-    watertight = F.coalesce("watertight", F.lit(False))
-    done = geometry.bounding(sums.withColumn("watertight", watertight), F.col("volume"), F.col("hull_volume"), F.col("watertight"), F.col("consistent"))
+    return sums.withColumn("watertight", F.coalesce("watertight", F.lit(False)))
+
+
+def mesh_bounds(tri: DataFrame, key: str) -> DataFrame:
+    """key and bounding of meshes (see `mesh_sums`): oriented box, volume by the ladder of sources, convexity, mass."""
+    done = geometry.bounding(mesh_sums(tri, key), F.col("volume"), F.col("hull_volume"), F.col("watertight"), F.col("consistent"))
     return done.select(key, _box(done).alias("bounding"))
 
 
