@@ -91,7 +91,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     n-gram of a language comes to the driver as a hash and a count. What the driver gets grows with the languages, not with the documents.
 
     usual: the coverage of a language's sampled documents by the others of them (each one's share of n-grams that some other holds), the
-    quantile ERROR, times 1 - 1 / sqrt(n) for n documents: the fewer there are, the less is asked of a text, and nothing where there is one.
+    quantile ERROR, times 1 - 1 / sqrt(n) for n different ones: the fewer there are, the less is asked of a text, and nothing where there is one.
     """
     ship(docs)
     rows = docs.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("_h"))
@@ -110,8 +110,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
             yield pa.RecordBatch.from_arrays([pa.array(d["lang"], b.schema.field(0).type), pa.array(d["_h"], pa.int64()), pa.array(h, pa.list_(pa.int64()))], names=["lang", "_h", "g"])
 
     grams = texts.mapInArrow(cut, StructType([texts.schema["lang"], texts.schema["_h"]]).add("g", ArrayType(LongType())))
-    # Equal rows are one document. The n-grams of the sample are kept, so that its texts are read once.
-    own = durable(grams.select("lang", "_h", "g").dropDuplicates(["lang", "_h"]))
+    # Texts of the same n-grams are one: copies would say that a language is well known. The n-grams are kept, so that the sample's texts are read once.
+    own = durable(grams.select("lang", "_h", "g", F.xxhash64("g").alias("_g")).dropDuplicates(["lang", "_g"]).drop("_g"))
     seen = own.select("lang", "_h", F.explode("g").alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("of"))
     learned: dict[str, list] = {r[0]: [] for r in counts.select("_l").collect()}
     alone: Counter = Counter()
