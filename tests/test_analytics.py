@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 
 from shardlake.operators import graph, query
-from shardlake.plans import analytics, records, tables  # noqa: F401 - they register their queries
+from shardlake.plans import analytics, outcomes, records, surfaces, tables  # noqa: F401 - they register their queries
 from shardlake.sources.records import read_records as load
 
 SF = "/root/testdata/sf0.001"
